@@ -33,6 +33,12 @@ def op7_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_after_edits(revised(_table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrine.llm.jaccard import linked_components
+
+    return linked_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vitrine.llm.records import write_and_read
 
@@ -41,7 +47,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_exact_topk, op5_feistel_shards, op6_differencing_packing, op7_edit_token_counts, op10_token_records)
+    for f in (op3_exact_topk, op5_feistel_shards, op6_differencing_packing, op7_edit_token_counts, op9_ngram_jaccard_join, op10_token_records)
 }
 
 ORACLE_SQL = {
@@ -56,4 +62,24 @@ with v as (
   where q.vec_id % 100 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op9_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from w
+), n as (select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), e as (select a, b from l union all select b, a from l
+), r as (
+  select doc_id as node, doc_id as reach from documents
+  union
+  select r.node, e.b from r join e on e.a = r.reach
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(reach) from r where r.node = d.doc_id) as component_id
+from documents d left join n using (doc_id)""",
 }
