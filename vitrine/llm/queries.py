@@ -9,6 +9,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrine.llm.quality import judge_documents
+
+    return judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrine.llm.toxicity import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vitrine.llm.topk import top_k_embeddings
 
@@ -47,7 +59,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_exact_topk, op5_feistel_shards, op6_differencing_packing, op7_edit_token_counts, op9_ngram_jaccard_join, op10_token_records)
+    for f in (op1_crf_quality, op2_gru_toxicity, op3_exact_topk, op5_feistel_shards, op6_differencing_packing, op7_edit_token_counts, op9_ngram_jaccard_join, op10_token_records)
 }
 
 ORACLE_SQL = {
