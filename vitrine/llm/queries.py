@@ -27,6 +27,12 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_gbdt_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrine.llm.html_main import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vitrine.llm.shards import shard_documents
 
@@ -45,6 +51,12 @@ def op7_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_after_edits(revised(_table(spark, sf_dir, "documents")))
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrine.llm.mixing import mix_plan
+
+    return mix_plan(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vitrine.llm.jaccard import linked_components
 
@@ -57,10 +69,19 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_crf_quality, op2_gru_toxicity, op3_exact_topk, op5_feistel_shards, op6_differencing_packing, op7_edit_token_counts, op9_ngram_jaccard_join, op10_token_records)
-}
+_ALL = (
+    op1_crf_quality,
+    op2_gru_toxicity,
+    op3_exact_topk,
+    op4_gbdt_main_text,
+    op5_feistel_shards,
+    op6_differencing_packing,
+    op7_edit_token_counts,
+    op8_temperature_mixing,
+    op9_ngram_jaccard_join,
+    op10_token_records,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
@@ -94,4 +115,35 @@ with recursive w as (
 )
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(reach) from r where r.node = d.doc_id) as component_id
 from documents d left join n using (doc_id)""",
+    "op8_temperature_mixing": r"""
+with recursive d as (
+  select doc_id, coalesce(source, '') as src,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 as n_tokens from documents
+), t as (select src, sum(n_tokens)::bigint as tokens from d group by src
+), p as (select src, tokens, tokens / (select sum(tokens)::double from t) as p from t
+), h as (  -- target entropy: half way from the sources' own to that of equal weights
+  select -sum(p * ln(p)) + 0.5 * (ln(count(*)) + sum(p * ln(p))) as target from p
+), e as (  -- the exponent by entropy, bit after bit
+  select 20 as bit, 0::bigint as k
+  union all
+  select bit - 1, k + case when (
+    select ln(sum(pow(p, a))) - max(a) * sum(pow(p, a) * ln(p)) / sum(pow(p, a))
+    from p, (select (k + (1 << (bit - 1))) / 1048576.0::double as a)) >= (select target from h) then 1 << (bit - 1) else 0 end
+  from e where bit > 0
+), x as (select k / 1048576.0::double as a from e where bit = 0
+), q as (
+  select src, tokens, floor(pow(p, a) / (select sum(pow(p2.p, x2.a)) from p p2, x x2) * (select sum(tokens) from t)::double)::bigint as quota from p, x
+), f as (select *, quota // tokens as passes, quota % tokens as rest from q
+), c as (
+  select d.*, f.*exclude (src), unnest(range(0, passes + 1)) as copy from d join f using (src)
+), m as (select *, md5('mix-1:' || copy || ':' || doc_id) as key from c
+), u as (
+  select *, sum(n_tokens) over (partition by src, copy order by key)::bigint as upto from m
+), b as (
+  select *, least(((copy * tokens + upto - n_tokens)::hugeint * nb // greatest(quota, 1))::bigint, nb - 1) as block
+  from u, (select greatest(1, round((select sum(tokens) from t) / 65536.0))::bigint as nb)
+  where copy < passes or upto <= rest
+)
+select doc_id, src as source, copy::int as copy, n_tokens::bigint as n_tokens, block,
+  (row_number() over (partition by block order by key, src, doc_id) - 1)::int as slot from b""",
 }
