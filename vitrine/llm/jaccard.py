@@ -271,6 +271,8 @@ def _family_pairs(docs: DataFrame, families: DataFrame, width: int, num: int, de
 
 
 def deduplicated(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; columns as before."""
-    found = linked_components(docs, width, num, den).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component stays, the one with the smallest doc_id; columns as before. Documents without words
+    are linked with nothing and stay."""
+    out = stored(linked_components(docs, width, num, den).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    few = out.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(out) if few else out, "doc_id", "left_anti").select(*docs.columns)

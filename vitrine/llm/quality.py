@@ -266,3 +266,17 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc_id.slice(a, n), *(pa.array(c) for c in columns.values())], names=["doc_id", *columns])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, MEASURES)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns; null and other values as they are."""
+    field = fit(sample(docs, labels, "quality")[0])
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept = [columns["kept"] for _, columns in measure(*text_buffers(batch.column("text")), shared.value)]
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(work, docs.schema)

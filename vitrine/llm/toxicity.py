@@ -375,3 +375,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, SCORES)
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that score under the threshold, with all their columns; null and other values as they are."""
+    model = fit(*sample(docs, labels, "toxic"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(shared.value.scores(*text_buffers(batch.column("text"))) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
