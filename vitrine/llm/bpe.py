@@ -1,20 +1,25 @@
 """Token ids by the tokenizers library, with words that occur again taken from a bounded cache.
 
-White space always ends a pre-token of the tokenizer files that are used here, so a text's ids are those of its
-white-space separated words in turn. Each worker encodes a word once and keeps its ids while the cache has room.
+In the tokenizer file that is used here, white space always ends a pre-token, and so does a place where an ASCII
+letter and an ASCII sign other than the apostrophe meet; case makes no difference. So a text's ids are those of its
+lower-cased words, cut at such places, in turn. Each worker encodes a piece once and keeps its ids while the cache has
+room. Texts that spell out a special token are cut at white space alone, with their case.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-from vitrine.llm.words import chunks, find_words, ragged
+from vitrine.llm.words import LOWER, Words, chunks, find_words, ragged
 
 #: Words in a worker's cache; it starts anew beyond that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 END_ID = 2
+#: Pieces that normalisation and pre-tokenisation leave as they are: lower-case letters of ASCII and Latin-1.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 def default_path() -> str:
@@ -23,6 +28,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _alphabet() -> list[str]:
+    """The character that byte-level tokenizer files write for each byte: itself if it prints, else from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+ByteLevelAlphabet = _alphabet()
+
+
 class WordEncoder:
     """Ids of words, and of texts through their words."""
 
@@ -32,6 +47,10 @@ class WordEncoder:
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.vocab_size = self.tokenizer.get_vocab_size()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
+        # Byte-level files write each byte as one character.
+        self.as_byte = {b: ByteLevelAlphabet[b] for b in range(256)}
         self._clear()
 
     def _clear(self) -> None:
@@ -39,22 +58,33 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _add(self, missing: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in missing]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has; no text may hold white space at its ends."""
         got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(got.ids, np.uint32)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         at = np.fromiter((s for s, _ in got.offsets), np.int64, len(ids))
-        length = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(texts))
+        return ids, np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(texts))
+
+    def _add(self, missing: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in missing]
+        plain = [i for i, t in enumerate(texts) if PLAIN(t)]
+        merge, alphabet = self.merge, self.as_byte
+        lists = [[t.id for t in merge(missing[i].decode("latin-1").translate(alphabet))] for i in plain]
+        rest = sorted(set(range(len(texts))).difference(plain))
+        ids, length = self._ids([texts[i] for i in rest]) if rest else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids = np.concatenate([np.fromiter((x for own in lists for x in own), np.uint32), ids])
+        length = np.concatenate([np.fromiter(map(len, lists), np.int64, len(lists)), length])
+        missing = [missing[i] for i in plain] + [missing[i] for i in rest]
         n = len(self.row)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(texts) > len(self.start):
+        while n + len(missing) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.length[n : n + len(texts)] = length
-        self.start[n : n + len(texts)] = self.used + np.concatenate([[0], np.cumsum(length)[:-1]])
+        self.length[n : n + len(missing)] = length
+        self.start[n : n + len(missing)] = self.used + np.concatenate([[0], np.cumsum(length)[:-1]])
         self.used += len(ids)
         self.row.update(zip(missing, range(n, n + len(missing)), strict=True))
 
@@ -68,8 +98,16 @@ class WordEncoder:
             self._add(missing[k : k + 50_000])
         return np.fromiter((get(w) for w in vocab), np.int64, len(vocab))
 
-    def word_lengths(self, words) -> np.ndarray:
-        """Number of ids of each word."""
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """The pieces of each text whose ids, one after the other, are the text's ids."""
+        low = LOWER[data]
+        raw = low.tobytes()
+        if any(s.lower() in raw for s in self.special):
+            return find_words(data, offsets)
+        return find_words(low, offsets, pieces=True)
+
+    def lengths(self, words: Words) -> np.ndarray:
+        """Number of ids of each piece."""
         row = self.rows(words.vocab.to_pylist())
         return self.length[row][words.codes].astype(np.int64)
 
@@ -78,7 +116,7 @@ class WordEncoder:
         extra = int(end_id is not None)
         for a, b in chunks(offsets):
             own = offsets[a : b + 1]
-            words = find_words(data[own[0] : own[-1]], own - own[0])
+            words = self.pieces(data[own[0] : own[-1]], own - own[0])
             row = self.rows(words.vocab.to_pylist())[words.codes]
             length = self.length[row].astype(np.int64)
             per_doc = np.bincount(words.doc, weights=length, minlength=b - a).astype(np.int64) + extra

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import default_path, encoder
-from vitrine.llm.words import chunks, find_words, text_buffers
+from vitrine.llm.words import chunks, text_buffers
 
 LEAF_WORDS = 32
 _SPACES = b" \t\n\v\f\r"
@@ -110,8 +110,8 @@ def trees(data: np.ndarray, offsets: np.ndarray, path: str) -> Iterator[tuple[in
     for a, b in chunks(offsets):
         at = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
-        words = find_words(part, at)
-        ids = np.concatenate([[0], np.cumsum(own.word_lengths(words))])
+        words = own.pieces(part, at)
+        ids = np.concatenate([[0], np.cumsum(own.lengths(words))])
         bounds = words.bounds()
         raw = part.tobytes()
         for k in range(b - a):

@@ -17,6 +17,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: 1: a-z; 2: ASCII signs other than the apostrophe. Where both meet, a pre-token always ends.
+KIND = np.zeros(256, np.uint8)
+KIND[97:123] = 1
+KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +73,8 @@ class Words:
         return np.fromiter((digest(w) for w in self.vocab.to_pylist()), np.uint64, len(self.vocab))
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text; lower: with A-Z as a-z."""
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, pieces: bool = False) -> Words:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text; lower: with A-Z as a-z; pieces: words cut where letters meet signs."""
     if lower:
         data = LOWER[data]
     inside = ~SPACE[data]
@@ -82,6 +86,11 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Wo
         full = offsets[1:] > offsets[:-1]
         first[offsets[:-1][full]] = True
         last[offsets[1:][full] - 1] = True
+        if pieces:
+            kind = KIND[data]
+            meet = np.flatnonzero(kind[1:] * kind[:-1] == 2)
+            first[meet + 1] = True
+            last[meet] = True
     start, end = np.flatnonzero(inside & first), np.flatnonzero(inside & last) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
     where = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
