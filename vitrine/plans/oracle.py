@@ -105,7 +105,46 @@ _CANDIDATE_ROWS = """own as (
   select candidate_id, c.page_id, max(quality_score) as quality_score, bool_or(is_searchable) as is_searchable from v_candidate c group by all
 ), cand as (select own.*, p.catalog_id from own join v_page p using (page_id))"""
 
+_LAYOUT = """items as (
+  select mention_id // 12 as page_id, mention_id % 12 as k, k % 3 + 1 as c, k // 3 + 1 as r, 40 + k % 3 * 180 + mention_id % 7 as x, 60 + k // 3 * 190 + mention_id % 5 as y, layout_text
+  from v_mention where mention_id < 600
+)"""
+_LINES = """cols as (
+  select page_id, c, coalesce((m + lag(m) over w) / 2, lo) as x1, coalesce((m + lead(m) over w) / 2, hi) as x2
+  from (select page_id, c, avg((x + 60) * 2.0) as m from items group by all) join (select page_id, min(x * 2.0) as lo, least(1190.0, max((x + 120) * 2.0)) as hi from items group by 1) using (page_id) window w as (partition by page_id order by c)
+), rws as (
+  select page_id, r, coalesce((m + lag(m) over w) / 2, lo) as y1, coalesce((m + lead(m) over w) / 2, hi) as y2
+  from (select page_id, r, avg((y + 121) * 2.0) as m from items group by all) join (select page_id, min(y * 2.0) as lo, least(1684.0, max((y + 127) * 2.0)) as hi from items group by 1) using (page_id) window w as (partition by page_id order by r)
+), tight as (
+  select page_id, r, c, x1, y1, x2, y2, greatest(x * 2.0, x1) as a, greatest(y * 2.0, y1) as b, least((x + 120) * 2.0, x2) as d, least((y + 127) * 2.0, y2) as e
+  from items join cols using (page_id, c) join rws using (page_id, r)
+)"""
+
 SQL = {
+    "legacy_dedupe_top20": _with(
+        "select place::int as place, crop_id, catalog_id, round(similarity, 6) as similarity from folded where keep order by place limit 20",
+        f"""crops as (select vec_id as crop_id, label as catalog_id, label || '/c' || (vec_id // 2) || '.jpg' as url, vec_id % 4 = 0 as embedded, list_cosine_similarity(embedding::double[], q.q) as similarity
+  from embeddings, {_PROFILE_VECTOR} q where vec_id % 3 <> 0 and (vec_id % 10) / 10.0 >= 0.5)""",
+        "tops as (select * from (select *, row_number() over (order by embedded, similarity desc, crop_id) as place from crops) where place <= 100)",
+        "seq as (select *, row_number() over (partition by catalog_id order by place) as k from tops)",
+        """folded as (
+  select distinct catalog_id, 0::bigint as k, 0::bigint as place, 0::bigint as crop_id, 0.0::double as similarity, false as keep, []::struct(u varchar, s double)[] as kept from seq
+  union all
+  select s.catalog_id, s.k, s.place, s.crop_id, s.similarity, len(list_filter(f.kept, lambda p: p.u = s.url or abs(p.s - s.similarity) < 1 - 0.97::double)) = 0,
+    case when len(list_filter(f.kept, lambda p: p.u = s.url or abs(p.s - s.similarity) < 1 - 0.97::double)) = 0 then list_append(f.kept, struct_pack(u := s.url, s := s.similarity)) else f.kept end
+  from folded f join seq s on s.catalog_id = f.catalog_id and s.k = f.k + 1
+)""",
+        recursive=True,
+    ),
+    "grid_detector": _with("""select page_id, r::int as r, c::int as c, round(greatest(x1, a - 0.04 * (d - a)), 6) as x, round(greatest(y1, b - 0.04 * (e - b)), 6) as y,
+  round(least(x2, d + 0.04 * (d - a)) - greatest(x1, a - 0.04 * (d - a)), 6) as width, round(least(y2, e + 0.04 * (e - b)) - greatest(y1, b - 0.04 * (e - b)), 6) as height from tight""", _LAYOUT, _LINES),
+    "card_detector": _with("""select page_id, (2 * k)::int as card_id, round(x1, 6) as x, round(y1, 6) as y, round(least(1190.0::double, x * 2 + 247.2::double) - x1, 6) as width, round(least(1684.0::double, y * 2 + 261.62::double) - y1, 6) as height, layout_text as text
+from (select *, greatest(0.0::double, x * 2 - 7.2::double) as x1, greatest(0.0::double, y * 2 - 7.62::double) as y1 from items)""", _LAYOUT),
+    "composite_split": _with("""select page_id, case when c = 1 then 0.0 else round(mx, 6) end as x, case when r = 1 then 0.0 else round(my, 6) end as y,
+  round(case when c = 1 then mx else 700 - mx end, 6) as width, round(case when r = 1 then my else 900 - my end, 6) as height from (
+  select page_id, (avg((x + 60) * 2.0) filter (c = 1) + avg((x + 60) * 2.0) filter (c = 2)) / 2 as mx, (avg((y + 121) * 2.0) filter (r = 1) + avg((y + 121) * 2.0) filter (r = 2)) / 2 as my
+  from items where c <= 2 and r <= 2 group by page_id), (select unnest([1, 2]) as c), (select unnest([1, 2]) as r)""", _LAYOUT),
+    "crop_texts": _with("select page_id, (r * 100 + c)::bigint as box_id, layout_text as box_text, true as valid, null::varchar as reason, 0.94::double as score from items", _LAYOUT),
     "page_search": _with(
         f"""select page_id, mention_id, catalog_id, page_number, s.supplier_name, match_type, confidence, round(score, 6) as score, n_others, others from (
   select *, row_number() over (order by score desc, similarity desc, mention_id) as top from (

@@ -208,21 +208,25 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return found.select("page_id", "block_id", "type", "x", "y", "width", "height", "text"), sizes
 
 
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.round(c, 6) for c in ("x", "y", "width", "height")})
+
+
 def grid_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, sizes = _layout(spark, sf_dir)
     facts = layout.page_facts(sizes.withColumn("has_layout", F.lit(True)), blocks)
-    return layout.grid_boxes(blocks, sizes, facts)
+    return _rounded(layout.grid_boxes(blocks, sizes, facts)).drop("confidence")
 
 
 def card_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, sizes = _layout(spark, sf_dir)
-    return layout.card_boxes(blocks, sizes, 1190.0, 1684.0)
+    return _rounded(layout.card_boxes(blocks, sizes, 1190.0, 1684.0)).drop("confidence")
 
 
 def composite_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, sizes = _layout(spark, sf_dir)
     whole = sizes.select("page_id", F.lit(1).alias("box_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(700.0).alias("width"), F.lit(900.0).alias("height"))
-    return layout.split_boxes(blocks, sizes, whole)
+    return _rounded(layout.split_boxes(blocks, sizes, whole)).drop("confidence", "box_id")
 
 
 def crop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +234,7 @@ def crop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = layout.grid_boxes(blocks, sizes, sizes.select("page_id", F.lit("category_grid").alias("page_type")))
     boxed = layout.text_in_boxes(blocks, sizes, found.withColumn("box_id", F.col("r") * 100 + F.col("c")))
     verdict = cascade.crop_verdict(signals(F.col("box_text")), F.lit(True))
-    return boxed.select("page_id", "box_id", "box_text", verdict.alias("v")).select("page_id", "box_id", "box_text", "v.valid", "v.reason", F.round("v.score", 4).alias("score"))
+    return boxed.select("page_id", "box_id", "box_text", verdict.alias("v")).select("page_id", F.col("box_id").cast("long").alias("box_id"), "box_text", "v.valid", "v.reason", F.round("v.score", 4).alias("score"))
 
 
 def supplier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
