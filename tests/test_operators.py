@@ -356,3 +356,65 @@ def test_stream_replaces_partitions(spark, tmp_path):
     assert read() == [(1, 7), (2, 1)]
     states = {r.catalog_id: (r.state, r.error) for r in ingest.latest_state(spark, f"{tmp_path}/status", "catalog_id").collect()}
     assert states == {1: ("READY", None), 2: ("FAILED", "bad page")}
+
+
+def drawn(n, size=(842 * 2, 595 * 2)):
+    page = np.full((*size, 3), 255, np.uint8)
+    for k in range(n):
+        x, y = 80 + k % 3 * 360, 200 + k // 3 * 400
+        page[y + 30 : y + 200, x + 30 : x + 210] = (70, 60 + k, 130)
+    return page
+
+
+def raster_frame(spark, pages):
+    rows = [(k, p.shape[1], p.shape[0], 3, bytearray(p.tobytes())) for k, p in pages]
+    return spark.createDataFrame(rows, "page_id bigint, width int, height int, channels int, data binary")
+
+
+def test_cascade_end_to_end(spark):
+    from vitrine.operators import candidates
+
+    blocks, sizes = grid_blocks(spark, 9)
+    facts = layout.page_facts(sizes.withColumn("has_layout", F.lit(True)), blocks)
+    decided, found = candidates.detect(facts, blocks, sizes, raster_frame(spark, [(1, drawn(9))]), 1190.0, 1684.0)
+    assert [tuple(r) for r in decided.collect()] == [(1, "GRID_LAYOUT")]
+    rows = found.collect()
+    assert len(rows) == 9 and sum(r.is_searchable for r in rows) >= 6 and {r.source_detector for r in rows} == {"GRID_LAYOUT"}
+    cover = facts.withColumn("page_type", F.lit("cover"))
+    decided, found = candidates.detect(cover, blocks, sizes, raster_frame(spark, [(1, drawn(9))]), 1190.0, 1684.0)
+    assert [r.decision for r in decided.collect()] == ["PAGE_SKIP"] and found.count() == 0
+
+
+def test_vision_runner(spark):
+    from vitrine.operators import candidates
+
+    page = np.full((1000, 1000, 3), 255, np.uint8)
+    page[120:480, 120:430] = (60, 80, 140)
+    box = lambda x, y, w, h, c: (float(x), float(y), float(w), float(h), c)
+    answers = spark.createDataFrame([(1, [box(100, 100, 350, 400, 0.9), box(105, 100, 350, 400, 0.8), box(0, 0, 20, 20, 0.9), box(600, 600, 300, 300, 0.9), box(110, 110, 340, 380, 0.3)])], "page_id bigint, boxes array<struct<x double, y double, width double, height double, confidence double>>")
+    got = {r.candidate_id: r for r in candidates.vision_candidates(answers, raster_frame(spark, [(1, page)]), "VISION_BOXES_CHEAP").collect()}
+    # Flagged duplicates take part in the second suppression too, and lose there.
+    assert set(got) == {0, 2, 3}
+    assert got[2].reject_reason == "too_small" and got[3].reject_reason == "mostly_white"
+    assert got[0].source_detector == "VISION_BOXES_CHEAP" and got[0].quality_score > 0.6
+
+
+def test_sinks(spark, tmp_path):
+    from vitrine.sources import sinks
+
+    rows = spark.createDataFrame([("1", "s", "f.pdf", "READY")], "id string, supplier_id string, file_name string, status string")
+    sinks.append(rows, "catalog", f"{tmp_path}/catalog")
+    assert spark.read.parquet(f"{tmp_path}/catalog").first().page_count is None
+    with pytest.raises(Exception, match="catalog.status"):
+        sinks.conformed(rows.withColumn("status", F.lit("ODD")), "catalog").collect()
+    with pytest.raises(Exception, match="file_name is null"):
+        sinks.conformed(rows.drop("file_name"), "catalog").collect()
+    table = spark.createDataFrame([("a", [1.0]), ("b", None), ("c", [3.0])], "id string, embedding array<double>")
+    fresh = spark.createDataFrame([("a", [0.0]), ("b", [2.0])], "id string, vector array<double>")
+    assert {r.id: r.embedding for r in sinks.with_vectors(table, fresh).collect()} == {"a": [1.0], "b": [2.0], "c": [3.0]}
+    out, counts = sinks.reembedded(table, "id", lambda: providers.HashProvider(4))
+    assert tuple(counts.first()) == (3, 0) and all(len(r.embedding) == 4 for r in out.collect())
+    blobs = spark.createDataFrame([("x/1.bin", bytearray(b"abc"))], "path string, content binary")
+    for _ in range(2):
+        row = sinks.uploaded(blobs, f"file://{tmp_path}/blobs", "https://h").first()
+        assert row.url.endswith("/x/1.bin") and (tmp_path / "blobs/x/1.bin").read_bytes() == b"abc"

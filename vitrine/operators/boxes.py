@@ -70,4 +70,5 @@ def connected(nodes: DataFrame, pairs: DataFrame, key: str, id_column: str) -> D
 
     types = dict(nodes.dtypes)
     schema = f"{key} {types[key]}, {id_column} {types[id_column]}, component {types[id_column]}"
-    return nodes.select(key, id_column).groupBy(key).cogroup(pairs.select(key, "a", "b").groupBy(key)).applyInPandas(component, schema)
+    links = pairs.select(F.col(key).alias("_key"), "a", "b")
+    return nodes.select(key, id_column).groupBy(key).cogroup(links.groupBy("_key")).applyInPandas(component, schema)
