@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrine.llm.shards import ROUNDS, SEED
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,7 +85,37 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+#: Keys of the rounds of the permutation, and 2 ** 64, for SQL.
+_KEYS = ", ".join(f"{(SEED * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03) % 2**64}::uhugeint" for k in range(ROUNDS))
+_WORD = f"{2**64}::uhugeint"
+
 ORACLE_SQL = {
+    "op5_feistel_shards": f"""
+with recursive tab as (  -- the remainder of each byte
+  select list(c order by n) as t from (
+    select n, list_reduce(list_prepend(n::ubigint, range(8)::ubigint[]), lambda c, i: case when (c & 1) = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as c
+    from (select unnest(range(256)) as n))
+), crc as (
+  select doc_id, strlen(x) + 1 as size, case when x = '' then 0::ubigint else xor(list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::ubigint)),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint) end::bigint as text_crc32
+  from (select doc_id, coalesce(text, '') as x from documents), tab
+), r as (
+  select *, row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as row_number from crc
+), s as (
+  select n, case when n <= 2 then 1 else (floor(log2(n - 1)) + 2)::bigint // 2 end as bits from (select count(*) as n from documents)
+), walk as (  -- a round at a time; from the last one on again while the place is not below n
+  select row_number, (row_number >> bits)::uhugeint as l, (row_number & ((1 << bits) - 1))::uhugeint as r, 0 as k from r, s
+  union all
+  select row_number, r, xor(l, xor(d, d >> 33) & ((1::uhugeint << bits::uhugeint) - 1)), k from (
+    select *, (xor(b, b >> 27) * 9357036318526133325::uhugeint) % {_WORD} as d from (
+      select *, (xor(a, a >> 31) * 9202493588570546565::uhugeint) % {_WORD} as b from (
+        select row_number, l, r, k % 6 + 1 as k, bits, (r + [{_KEYS}][k % 6 + 1]) % {_WORD} as a
+        from walk, s where k < 6 or (l << bits::uhugeint) + r >= n)))
+), p as (
+  select row_number, ((l << bits::uhugeint) + r)::bigint as place from walk, s where k = 6 and (l << bits::uhugeint) + r < n
+)
+select doc_id, size, text_crc32, 'rows' as law, (place % 8)::int as shard, place // 8 as slot, null::int as grown_shard, row_number from r join p using (row_number)""",
     "op3_exact_topk": """
 with v as (
   select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
