@@ -16,7 +16,7 @@ import numpy as np
 from vitrine.llm.words import LOWER, Words, chunks, find_words, ragged
 
 #: Words in a worker's cache; it starts anew beyond that.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 END_ID = 2
 #: Pieces that normalisation and pre-tokenisation leave as they are: lower-case letters of ASCII and Latin-1.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of each class, and bytes of a text, that a sample takes at most. Scoring takes whole texts of all documents.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 15
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 14
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.labels import held_out, sample
-from vitrine.llm.words import Words, chunks, find_words, mix64, ragged, text_buffers
+from vitrine.llm.words import Words, chunks, find_words, mix64, ragged, release, text_buffers
 
 WINDOW, STRIDE = 64, 32
 HIDDEN, EMBED = 8, 2
@@ -348,6 +348,8 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None, seed: int
     if share is not None and 0 < share < 1:  # back from the sample's share of toxic documents to that of all labels
         w[2] += np.log(share / (1 - share)) - np.log(marks.mean() / (1 - marks.mean()))
     network.final = w
+    del words, v, per_fold, evidence
+    release()
     return model
 
 
