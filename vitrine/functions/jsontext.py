@@ -201,7 +201,7 @@ def parse_boxes(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_boxes(t) for t in text], columns=BOXES.names)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _balanced(text: pd.Series) -> pd.Series:
     return text.map(lambda t: balanced_object(t) if t is not None else None)
 
