@@ -197,7 +197,7 @@ def page_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Layout documents in JSON, as an extractor would write them, read back: 12 signals and 12 photos in a grid on each page."""
-    m = view(spark, sf_dir, "v_mention").where("mention_id < 600").withColumns({"p": F.expr("mention_id div 12"), "k": F.expr("mention_id % 12")})
+    m = view(spark, sf_dir, "v_mention").withColumns({"p": F.expr("mention_id div 12"), "k": F.expr("mention_id % 12")})
     x, y = F.expr("40 + k % 3 * 180 + mention_id % 7"), F.expr("60 + k div 3 * 190 + mention_id % 5")
     block = lambda kind, y, h, t: F.struct(F.lit(kind).alias("type"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(120.0).alias("width"), F.lit(h).alias("height"), t.alias("text"))
     blocks = m.select("p", "k", F.explode(F.array(block("image", y, 110.0, F.lit(None).cast("string")), block("text", y + 115, 12.0, F.col("layout_text")))).alias("b"))
