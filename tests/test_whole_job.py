@@ -38,3 +38,28 @@ def equals_whole_sql(spark, duck, name, *cuts):
 @pytest.mark.parametrize("name", ["grid_detector", "card_detector", "composite_split", "crop_texts"])
 def test_layout_of_all_mentions(spark, duck, name):
     equals_whole_sql(spark, duck, name, (" where mention_id < 600", ""))
+
+
+def test_touching_pairs_of_all_boxes(spark, duck):
+    equals_whole_sql(spark, duck, "touching_pairs", ("(a.box_id // 200) % 4 = 0 and (b.box_id // 200) % 4 = 0 and ", ""))
+
+
+def test_components_of_all_boxes(spark, duck):
+    equals_whole_sql(spark, duck, "connected_images", (" where (box_id // 200) % 12 = 0", ""))
+
+
+def test_touching_pairs_equal_brute_force(spark):
+    """Boxes on cell edges, at the exact margin, beyond the page, and larger than it."""
+    from pyspark.sql import functions as F
+
+    from vitrine.operators import geometry
+
+    boxes = [(k % 2, k, float(x), float(y), float(w), float(h)) for k, (x, y, w, h) in enumerate((x, y, w, h) for x in (-40, 0, 90, 115, 200, 585, 700) for y in (0, 100, 121, 400, 900) for w, h in ((10, 0), (100, 100), (75, 79), (2000, 30)))]
+    df = spark.createDataFrame(boxes, "page_id long, box_id long, x double, y double, width double, height double").withColumn("b", geometry.box())
+    got = [tuple(r) for r in geometry.touching_pairs(df, "page_id", "box_id", 600.0, 840.0).collect()]
+    one = df.select("page_id", F.col("box_id").alias("a"), F.col("b").alias("p"))
+    two = df.select("page_id", F.col("box_id").alias("b"), F.col("b").alias("q"))
+    dx, dy = geometry.gaps(F.col("p"), F.col("q"))
+    touch = ((dx <= 0.015 * 600.0) & (dy <= 0.015 * 840.0)) | (geometry.iou(F.col("p"), F.col("q")) > 0.2)
+    want = [tuple(r) for r in one.join(two, "page_id").where(F.col("a") < F.col("b")).where(touch).select("page_id", "a", "b").collect()]
+    assert len(got) == len(set(got)) and sorted(got) == sorted(want) and want

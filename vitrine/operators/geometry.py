@@ -11,6 +11,8 @@ MIN_SIDE, MAX_AREA, HEADER, FOOTER, BAR_ASPECT, COLUMN_ASPECT = 180, 0.85, 0.1,
 FULL_PAGE, BACKGROUND, BAR_WIDTH, BAR_HEIGHT, BAND = 0.9, 0.85, 0.8, 0.04, 0.05
 #: When images touch, and how far a text may be from its image (shares of the page).
 TOUCH, TOUCH_IOU, NEAR_X, NEAR_Y, OVERLAP, CAPTION_WIDTH = 0.015, 0.2, 0.04, 0.05, 0.4, 0.55
+#: Cells along each side of a page by which boxes meet; changes no result.
+CELLS = 6
 
 
 def sides(r: Column) -> tuple[Column, Column, Column, Column]:
@@ -92,9 +94,17 @@ def centers_in(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
 
 def touching_pairs(images: DataFrame, key: str, id_column: str, page_width: float, page_height: float) -> DataFrame:
     """Pairs a < b of one page whose boxes touch or overlap. images: key, id, b (box struct)."""
-    a = images.select(key, F.col(id_column).alias("a"), F.col("b").alias("box_a"))
-    b = images.select(key, F.col(id_column).alias("b"), F.col("b").alias("box_b"))
-    pairs = a.join(b, key).where("a < b")
+    cell = lambda v, size: F.least(F.lit(CELLS - 1.0), F.greatest(F.lit(0.0), F.floor(v * CELLS / size))).cast("int")
+    x, y, x2, y2 = sides(F.col("b"))
+    # Boxes can touch if, with the margin added on the right and below (a little more, for rounding), they share a point.
+    span = lambda low, high, size: F.sequence(cell(low, size), F.greatest(cell(low, size), cell(high + TOUCH * size * 1.001, size)))
+    placed = images.withColumns({"_x": cell(x, page_width), "_y": cell(y, page_height)})
+    placed = placed.withColumn("_i", F.explode(span(x, x2, page_width))).withColumn("_j", F.explode(span(y, y2, page_height)))
+    a = placed.select(key, "_i", "_j", F.col(id_column).alias("a"), F.col("b").alias("box_a"), F.col("_x").alias("xa"), F.col("_y").alias("ya"))
+    b = placed.select(key, "_i", "_j", F.col(id_column).alias("b"), F.col("b").alias("box_b"), F.col("_x").alias("xb"), F.col("_y").alias("yb"))
+    # A pair meets in every cell both lie in; it counts in the first.
+    first = (F.col("_i") == F.greatest("xa", "xb")) & (F.col("_j") == F.greatest("ya", "yb"))
+    pairs = a.join(b, [key, "_i", "_j"]).where((F.col("a") < F.col("b")) & first)
     dx, dy = gaps(F.col("box_a"), F.col("box_b"))
     close = (dx <= TOUCH * page_width) & (dy <= TOUCH * page_height)
     return pairs.where(close | (iou(F.col("box_a"), F.col("box_b")) > TOUCH_IOU)).select(key, "a", "b")

@@ -160,11 +160,11 @@ def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def touching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.touching_pairs(_boxes(spark, sf_dir).where("box_id div 200 % 4 = 0"), "page_id", "box_id", PAGE_WIDTH, PAGE_HEIGHT)
+    return geometry.touching_pairs(_boxes(spark, sf_dir), "page_id", "box_id", PAGE_WIDTH, PAGE_HEIGHT)
 
 
 def connected_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _boxes(spark, sf_dir).where("box_id div 200 % 12 = 0")
+    b = _boxes(spark, sf_dir)
     return boxes.connected(b, geometry.touching_pairs(b, "page_id", "box_id", PAGE_WIDTH, PAGE_HEIGHT), "page_id", "box_id")
 
 
