@@ -63,3 +63,17 @@ def test_touching_pairs_equal_brute_force(spark):
     touch = ((dx <= 0.015 * 600.0) & (dy <= 0.015 * 840.0)) | (geometry.iou(F.col("p"), F.col("q")) > 0.2)
     want = [tuple(r) for r in one.join(two, "page_id").where(F.col("a") < F.col("b")).where(touch).select("page_id", "a", "b").collect()]
     assert len(got) == len(set(got)) and sorted(got) == sorted(want) and want
+
+
+def test_heuristic_detector_of_all_pages(spark):
+    from collections import defaultdict
+
+    from vitrine.plans.views import view
+
+    found = defaultdict(list)
+    df = __spark_entry__.queries()["heuristic_detector"](spark, SF)
+    for r in df.collect():
+        found[r["page_id"]].append(tuple(r[c] for c in df.columns if c != "page_id"))
+    assert set(found) == {r[0] for r in view(spark, SF, "v_box").select("page_id").distinct().collect()}
+    # The drawing repeats after 120 pages: cells by 3 and 2, shades by 40.
+    assert len(found) > 120 and all(sorted(found[k], key=repr) == sorted(found[k - 120], key=repr) for k in found if k >= 120)
