@@ -77,3 +77,7 @@ def test_heuristic_detector_of_all_pages(spark):
     assert set(found) == {r[0] for r in view(spark, SF, "v_box").select("page_id").distinct().collect()}
     # The drawing repeats after 120 pages: cells by 3 and 2, shades by 40.
     assert len(found) > 120 and all(sorted(found[k], key=repr) == sorted(found[k - 120], key=repr) for k in found if k >= 120)
+
+
+def test_page_types_of_all_mentions(spark, duck):
+    equals_whole_sql(spark, duck, "page_types", (" where mention_id % 3 <> 1 or page_id % 4 <> 0", ""))
