@@ -81,3 +81,7 @@ def test_heuristic_detector_of_all_pages(spark):
 
 def test_page_types_of_all_mentions(spark, duck):
     equals_whole_sql(spark, duck, "page_types", (" where mention_id % 3 <> 1 or page_id % 4 <> 0", ""))
+
+
+def test_literal_of_whole_vectors(spark, duck):
+    equals_whole_sql(spark, duck, "vector_literal", ("embedding[1:4]", "embedding"))

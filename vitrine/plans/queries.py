@@ -62,7 +62,7 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", vector.literal(F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x * 1000).cast("int"))).alias("literal"))
+    return e.select("vec_id", vector.literal(F.transform("embedding", lambda x: F.floor(x * 1000).cast("int"))).alias("literal"))
 
 
 def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
