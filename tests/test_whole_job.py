@@ -85,3 +85,13 @@ def test_page_types_of_all_mentions(spark, duck):
 
 def test_literal_of_whole_vectors(spark, duck):
     equals_whole_sql(spark, duck, "vector_literal", ("embedding[1:4]", "embedding"))
+
+
+def test_eight_mentions_of_a_page(spark, duck):
+    equals_whole_sql(spark, duck, "mentions_by_page", ("place <= 3", "place <= 8"))
+
+
+
+@pytest.mark.parametrize("name", ["cascade_decisions", "cascade_premium"])
+def test_cascade_budget_of_20(spark, duck, name):
+    equals_whole_sql(spark, duck, name, ("n > 3", "n > 20"), ("n <= 3", "n <= 20"), ("3 as rest", "20 as rest"))

@@ -268,7 +268,7 @@ def decision_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = view(spark, sf_dir, "v_mention").withColumn("confidence", F.when(F.col("mention_id") % 6 != 0, F.col("synthetic_similarity")))
-    d = catalog.mentions_by_page(m.select("page_id").distinct(), m, 3)
+    d = catalog.mentions_by_page(m.select("page_id").distinct(), m)
     return d.select("page_id", F.col("n_mentions").cast("long").alias("n_mentions"), F.array_join("shown", "|").alias("shown"))
 
 
@@ -351,7 +351,7 @@ def _cascade(spark: SparkSession, sf_dir: str, premium: bool) -> DataFrame:
     p = view(spark, sf_dir, "v_page")
     number = F.row_number().over(Window.partitionBy("catalog_id").orderBy("page_id"))
     pages = p.select("page_id", "catalog_id", number.alias("page_number"), F.when(F.col("page_id") % 10 == 0, "cover").otherwise("category_grid").alias("page_type"), (F.col("page_id") % 4 == 1).alias("grid_good"), (F.col("page_id") % 4 == 2).alias("pdf_good"), (F.col("page_id") % 7 == 0).alias("heuristic_good"), (F.col("page_id") % 6 != 0).alias("vision_ok"), (F.col("page_id") % 3).alias("vision_boxes"), F.lit(1).alias("expected_min"), F.lit(True).alias("premium_ok"))
-    done = cascade.decided(pages, budget=3, premium=premium)
+    done = cascade.decided(pages, premium=premium)
     return done.select("page_id", "catalog_id", "decision", F.col("vision_calls").cast("int").alias("vision_calls"))
 
 
