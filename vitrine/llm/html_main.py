@@ -55,10 +55,22 @@ _TOKEN_KIND = {w: k for k, words in enumerate(TOKENS.values()) for w in words.sp
 _TAG_KIND = {t: k for k, t in enumerate(TAGS)}
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: One attribute after the other, or a stray quoted text; what stands in a value is no name.
+_NAMED = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether attributes by these names hide their element."""
+    for found in _NAMED.finditer(attributes):
+        name, value = (found[1] or "").lower(), found[2] or found[3] or found[4] or ""
+        if name == "hidden" or (name == "style" and _UNSEEN.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+    return False
+
+
 class Page:
     """The tree of a page: lists by element, and the text pieces as (element, text, whether a block ends before it)."""
 
@@ -79,12 +91,11 @@ class Page:
         self.parent.append(parent)
         self.kinds.append(kinds)
         self.depth.append(self.depth[parent] + 1)
-        self.hidden.append(bool(attributes) and _HIDDEN.search(attributes) is not None)
+        self.hidden.append(_hidden(attributes))
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
         stack, at, ended = [0], 0, True
-        low = None
         n = len(source)
         while at < n:
             found = _MARKUP.search(source, at)
@@ -111,12 +122,11 @@ class Page:
             if tag in RAW:
                 if found[3].endswith("/"):
                     continue
-                low = source.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                if end < 0:
+                end = _END[tag].search(source, at)
+                if not end:
                     at = n
                 else:
-                    close = source.find(">", end)
+                    close = source.find(">", end.end())
                     at = n if close < 0 else close + 1
                 continue
             if tag in ("html", "body"):
@@ -232,8 +242,6 @@ class Page:
         parent = self.parent
         keep[0] = 0.0
         for k in range(n - 1, 0, -1):
-            if self.hidden[k]:
-                keep[k] = -1e9
             keep[parent[k]] += max(keep[k], drop[k])
             drop[parent[k]] += drop[k]
         out = [True] * n
