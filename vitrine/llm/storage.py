@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a folder of this machine on a local master only; on a
+    cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="vitrine-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,7 +30,26 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `stored` gave and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that is not taken, upper and lower case alike."""
+    used = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
