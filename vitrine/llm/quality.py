@@ -3,7 +3,9 @@
 Base rules first: a text with under 50 words, or with more than half of its words in repeated 3-word windows, fails.
 For the others Viterbi decoding finds the best sequence of line labels, and the share of words in content lines
 decides whether the document stays. Weights are fitted in numpy (forward-backward, Adam) on the lines of a bounded
-sample of labelled documents; each line carries its document's quality label.
+sample of labelled documents. Lines have targets of their own: boilerplate lines that a generator plants in every
+second good document are boilerplate, and the labels of all other lines are settled by turns of decoding and fitting,
+in which a good document must keep at least the share of content that is asked for and a poor one must stay below it.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.labels import sample
-from vitrine.llm.words import Words, chunks, find_words, text_buffers
+from vitrine.llm.words import Words, chunks, find_words, release, text_buffers
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document stays if at least this share of its words is in content lines.
@@ -25,6 +28,16 @@ CONTENT_SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
 CONTENT, BOILERPLATE = 1, 0
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
+#: Turns of decoding and fitting that settle the lines' labels, and steps of each fit but the first.
+TURNS, TURN_STEPS = 3, 60
+PLANT_SEED = 5
+#: Words that speak for page furniture, in the ways they are written.
+FURNITURE = (
+    "home menu login logout register subscribe newsletter sitemap contact faq copyright rights reserved license licensed "
+    "cookie cookies privacy terms conditions policy share tweet facebook twitter instagram linkedin rss print advertisement "
+    "sponsored click download previous next archive archives"
+).split()
+_FURNITURE = pa.array([f"{a}{v}{z}".encode() for w in FURNITURE for v in (w, w.capitalize(), w.upper()) for a in ("", "(", "|") for z in ("", ".", ",", ":", "!", "|", ")")], pa.large_binary())
 
 _SYMBOL, _DIGIT, _UPPER, _PIPE, _LINK, _REST = (np.zeros(256, bool) for _ in range(6))
 _SYMBOL[list(SYMBOLS)] = True
@@ -100,6 +113,7 @@ def find_lines(words: Words, repeated: np.ndarray) -> Lines:
         first_byte[rows] = data[words.start[at]]
         last_byte[rows] = data[words.end[np.append(at[1:], len(line)) - 1] - 1]
     per = np.maximum(n_words, 1)
+    furniture = pc.is_in(words.vocab, value_set=_FURNITURE).to_numpy(zero_copy_only=False)
     columns = [
         np.ones(len(doc)),
         ~some,
@@ -115,6 +129,7 @@ def find_lines(words: Words, repeated: np.ndarray) -> Lines:
         _STOP[last_byte],
         _UPPER[first_byte] | (first_byte >= 128),
         np.minimum(np.bincount(line, weights=words.end - words.start, minlength=len(doc)) / per / 10, 2),
+        np.minimum(np.bincount(line, weights=furniture[words.codes], minlength=len(doc)) / per * 4, 2),
     ]
     return Lines(doc, start, end, n_words, dup, np.column_stack(columns).astype(np.float64))
 
@@ -190,25 +205,105 @@ class Field:
         return x.T @ p / len(doc), pairs / len(doc)
 
 
+def furniture_lines(r: np.random.Generator) -> list[str]:
+    """A made-up run of boilerplate lines: menus, link lists, notices of rights and cookies, rows of signs, tables of numbers."""
+    pick = lambda *x: x[r.integers(len(x))]
+    name = lambda: "".join(pick("an", "ber", "co", "del", "fo", "gra", "lin", "mo", "ta", "vis") for _ in range(r.integers(1, 4)))
+    word = lambda: pick(*FURNITURE) if r.random() < 0.6 else name()
+    shown = lambda w: pick(w, w.capitalize(), w.upper())
+    kind = r.integers(7)
+    if kind == 0:
+        return [pick(" | ", " / ", " > ", " \u00b7 ").join(shown(word()) for _ in range(r.integers(3, 10)))]
+    if kind == 1:
+        return [shown(word()) + pick("", "", " " + name()) for _ in range(r.integers(3, 9))]
+    if kind == 2:
+        return [f"Copyright {r.integers(1995, 2031)} {name().capitalize()}. All rights reserved."] + ["Terms and conditions | Privacy policy"] * int(r.integers(2))
+    if kind == 3:
+        return [pick("We use cookies. Read our cookie policy.", "Subscribe to our newsletter!", "Click here to download.", "Share on Facebook Twitter LinkedIn", "Advertisement", "Sponsored")]
+    if kind == 4:
+        return [f"{pick('http://www.', 'https://')}{name()}.com/{name()}/{name()}_{r.integers(999)}" for _ in range(r.integers(2, 6))]
+    if kind == 5:
+        return [" ".join(pick("***", "###", "$$$", "%%%", "&&&", "<>", "||", name() + pick("***", "###", "%%%")) for _ in range(r.integers(4, 30))) for _ in range(r.integers(1, 4))]
+    return [pick(" | ", " ", " / ").join(str(r.integers(1 << r.integers(4, 20))) for _ in range(r.integers(3, 12))) for _ in range(r.integers(2, 7))]
+
+
+def planted(text: str, r: np.random.Generator) -> tuple[str, list[bool]]:
+    """The text with runs of boilerplate lines at its begin, within it or at its end; which lines are planted."""
+    lines = [(x, False) for x in text.split("\n")]
+    words = sum(len(x.split()) for x, _ in lines)
+    for _ in range(r.integers(1, 4)):
+        run = [(x, True) for x in furniture_lines(r)]
+        if sum(len(x.split()) for x, p in lines + run if p) > words // 3:
+            continue
+        at = int((0, len(lines), r.integers(len(lines) + 1))[r.integers(3)])
+        lines[at:at] = run
+    return "\n".join(x for x, _ in lines), [p for _, p in lines]
+
+
+def _descend(field: Field, x: np.ndarray, doc: np.ndarray, label: np.ndarray, chains: Chains, steps: int, linked: bool) -> None:
+    """Adam on the field's weights, in place; linked: also on what goes from line to line."""
+    moments = [np.zeros_like(field.weights), np.zeros_like(field.weights), np.zeros((2, 2)), np.zeros((2, 2))]
+    observed = np.eye(2)[label]
+    for step in range(1, steps + 1):
+        if linked:
+            grads = field.gradient(x, doc, label, chains)
+        else:
+            score = x @ field.weights
+            p = np.exp(score - score.max(axis=1, keepdims=True))
+            grads = (x.T @ (p / p.sum(axis=1, keepdims=True) - observed) / len(doc),)
+        for k, g in enumerate(grads):
+            p, m1, m2 = (field.weights, field.change)[k], moments[2 * k], moments[2 * k + 1]
+            g = g + RIDGE * p
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            p -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+
+
+def _settled(label: np.ndarray, margin: np.ndarray, lines: Lines, mark: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """Line labels under the documents' labels: planted lines are boilerplate; then, line by line from the least sure,
+    a good document gets content lines until they hold enough of its own words, a poor one loses them until they do not."""
+    out = np.where(fixed, BOILERPLATE, label).astype(np.int64)
+    own = np.where(fixed, 0, lines.n_words)
+    total = np.bincount(lines.doc, weights=own, minlength=len(mark))
+    content = np.bincount(lines.doc, weights=own * (out == CONTENT), minlength=len(mark))
+    enough = content >= CONTENT_SHARE * total
+    for d in np.flatnonzero((enough != (mark == 1)) & (total > 0)):
+        at = np.flatnonzero((lines.doc == d) & ~fixed & (out != mark[d]))
+        at = at[np.argsort(margin[at] * (1 if mark[d] == 0 else -1), kind="stable")]
+        for k in at:
+            if (content[d] >= CONTENT_SHARE * total[d]) == (mark[d] == 1):
+                break
+            out[k] = mark[d]
+            content[d] += own[k] if mark[d] == 1 else -own[k]
+    # A text of blank lines alone says nothing about lines; they go with their document.
+    return np.where(~fixed & (total[lines.doc] == 0), mark[lines.doc], out)
+
+
 def fit(rows: list[tuple[int, str, int]]) -> Field:
     """Fit on (doc_id, text, label). With one class only, or no rows, every line is content."""
     marks = np.array([m for _, _, m in rows], np.int64)
-    words = find_words(*text_buffers(pa.array([t for _, t, _ in rows], pa.large_string())))
-    lines = find_lines(words, repeated_words(words))
-    width = lines.features.shape[1]
+    width = find_lines(find_words(np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, bool)).features.shape[1]
     field = Field(np.zeros((width, 2)), np.zeros((2, 2)))
     if len(rows) < 8 or marks.min() == marks.max():
         field.weights[0, CONTENT] = 1.0
         return field
-    label, chains = marks[lines.doc], Chains(lines.doc, len(rows))
-    moments = [np.zeros((width, 2)), np.zeros((width, 2)), np.zeros((2, 2)), np.zeros((2, 2))]
-    for step in range(1, STEPS + 1):
-        grads = field.gradient(lines.features, lines.doc, label, chains)
-        for k, p in enumerate((field.weights, field.change)):
-            g, m1, m2 = grads[k] + RIDGE * p, moments[2 * k], moments[2 * k + 1]
-            m1 += 0.1 * (g - m1)
-            m2 += 0.01 * (g * g - m2)
-            p -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    r = np.random.default_rng(PLANT_SEED)
+    texts, flags = [], []
+    for k, (_, text, mark) in enumerate(rows):
+        own = planted(text, r) if mark == 1 and k % 2 else (text, [False] * (text.count("\n") + 1))
+        texts.append(own[0])
+        flags += own[1]
+    words = find_words(*text_buffers(pa.array(texts, pa.large_string())))
+    lines = find_lines(words, repeated_words(words))
+    fixed, x, chains = np.array(flags, bool), lines.features, Chains(lines.doc, len(rows))
+    label = np.where(fixed, BOILERPLATE, marks[lines.doc])
+    _descend(field, x, lines.doc, label, chains, STEPS, False)
+    for turn in range(TURNS):
+        margin = x @ (field.weights[:, CONTENT] - field.weights[:, BOILERPLATE])
+        label = _settled(field.decode(x, lines.doc, len(rows)), margin, lines, marks, fixed)
+        _descend(field, x, lines.doc, label, chains, STEPS if turn == 0 else TURN_STEPS, True)
+    del words, lines, x
+    release()
     return field
 
 
@@ -280,3 +375,31 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
     return docs.mapInArrow(work, docs.schema)
+
+
+def judge_lines(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, line (from 0), begin and end (bytes of the text) and content of every line of every text.
+
+    A null or empty text has one empty line; rows may repeat; other columns are left alone; an empty table gives an empty
+    result. Without labels of both classes every line is content.
+    """
+    field = fit(sample(docs, labels, "quality")[0])
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc_id = batch.column("doc_id")
+            data, offsets = text_buffers(batch.column("text"))
+            for a, b in chunks(offsets):
+                at = offsets[a : b + 1] - offsets[a]
+                words = find_words(data[offsets[a] : offsets[b]], at)
+                lines = find_lines(words, repeated_words(words))
+                label = shared.value.decode(lines.features, lines.doc, b - a)
+                number = np.arange(len(lines.doc)) - np.searchsorted(lines.doc, lines.doc)
+                columns = [doc_id.take(pa.array(a + lines.doc)), number.astype(np.int32), lines.start - at[lines.doc], lines.end - at[lines.doc], label == CONTENT]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["doc_id", "line", "begin", "end", "content"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(work, "doc_id long, line int, begin long, end long, content boolean")
