@@ -53,17 +53,22 @@ TOKENS = {
 TAGS = "p h1 h2 h3 h4 li ul ol a div section article main nav header footer aside form table td blockquote pre figure body button label dl span".split()
 _TOKEN_KIND = {w: k for k, words in enumerate(TOKENS.values()) for w in words.split()}
 _TAG_KIND = {t: k for k, t in enumerate(TAGS)}
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+#: Attributes up to the end of a tag; a quote counts after an equals sign only, and where it is closed. Takes a text once.
+_INSIDE = re.compile(r"(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+_ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|itemprop|aria-label)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I | re.S)
 #: One attribute after the other, or a stray quoted text; what stands in a value is no name.
-_NAMED = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
-_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+_NAMED = re.compile(r"\"[^\"]*+\"|'[^']*+'|([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.S)
+_HIDING = re.compile("hidden|style", re.I)
+_UNSEEN = re.compile(r"display\s*+:\s*+none", re.I)
+_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|$)", re.I | re.A) for tag in RAW}
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 def _hidden(attributes: str) -> bool:
     """Whether attributes by these names hide their element."""
+    if not _HIDING.search(attributes):
+        return False
     for found in _NAMED.finditer(attributes):
         name, value = (found[1] or "").lower(), found[2] or found[3] or found[4] or ""
         if name == "hidden" or (name == "style" and _UNSEEN.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
@@ -71,6 +76,48 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
+class _Open:
+    """The open elements. Beside the stack: the places of each tag in it, and for each place that of the nearest element
+    at or under it that is no inline one. So every question is answered at once, and what is closed is closed once."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.block = [0], ["body"], [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.block.append(self.block[-1] if tag in INLINE else place)
+        self.places.setdefault(tag, []).append(place)
+
+    def top(self, tag: str) -> int:
+        """The highest place of the tag; 0: it is not open."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def cut(self, place: int) -> None:
+        """Close what is at this place and above."""
+        while len(self.nodes) > max(place, 1):
+            self.nodes.pop()
+            self.block.pop()
+            self.places[self.tags.pop()].pop()
+
+    def end(self, tag: str) -> None:
+        place = self.top(tag)
+        if place and not (tag in INLINE and place < self.block[-1]):  # an inline end tag does not end blocks
+            self.cut(place)
+
+    def end_paragraph(self) -> None:
+        place = self.block[-1]
+        self.cut(place if self.tags[place] == "p" else place + 1)
+
+    def end_sibling(self, tags: str, within: tuple[str, ...]) -> None:
+        place = max(map(self.top, tags.split()))
+        if place > max(map(self.top, within)):
+            self.cut(place)
+
+
 class Page:
     """The tree of a page: lists by element, and the text pieces as (element, text, whether a block ends before it)."""
 
@@ -95,78 +142,72 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
-        stack, at, ended = [0], 0, True
-        n = len(source)
-        while at < n:
-            found = _MARKUP.search(source, at)
-            text = source[at : found.start()] if found else source[at:]
+        """One pass: every step moves on in the source, and what the stack of open elements is asked is kept beside it."""
+        opened = _Open()
+        at, begin, ended, n = 0, 0, True, len(source)
+
+        def put(text: str) -> None:
+            nonlocal ended
             if text:
                 if not text.isspace():
-                    self.pieces.append((stack[-1], html.unescape(text), ended))
+                    self.pieces.append((opened.nodes[-1], html.unescape(text), ended))
                     ended = False
                 elif not ended:
-                    self.pieces.append((stack[-1], " ", False))
-            if not found:
-                break
-            at = found.end()
-            if found[2] is None:
+                    self.pieces.append((opened.nodes[-1], " ", False))
+
+        while (lt := source.find("<", at)) >= 0:
+            sign = source[lt + 1 : lt + 2]
+            if sign in ("!", "?") and sign:
+                put(source[begin:lt])
+                if source.startswith("<!--", lt):
+                    close = source.find("-->", lt + 4)
+                elif source.startswith("<![CDATA[", lt):
+                    close = source.find("]]>", lt + 9)
+                else:
+                    close = source.find(">", lt)
+                if close < 0:
+                    return
+                begin = at = close + (1 if source[close] == ">" else 3)
                 continue
-            tag = found[2].lower()
+            name = _NAME.match(source, lt + 1)
+            if not name:
+                at = lt + 1  # an ordinary sign
+                continue
+            put(source[begin:lt])
+            inside = _INSIDE.match(source, name.end())
+            attributes = inside[0]
+            begin = at = inside.end() + 1
+            tag = name[0].lower()
+            ends = tag[0] == "/"
+            tag = tag.lstrip("/")
             if tag not in INLINE:
                 ended = True
             elif tag == "br" and not ended:
-                self.pieces.append((stack[-1], " ", False))
-            if found[1]:
-                self._close(stack, tag)
+                self.pieces.append((opened.nodes[-1], " ", False))
+            if ends:
+                opened.end(tag)
                 continue
             if tag in RAW:
-                if found[3].endswith("/"):
+                if attributes.endswith("/"):
                     continue
                 end = _END[tag].search(source, at)
-                if not end:
-                    at = n
-                else:
-                    close = source.find(">", end.end())
-                    at = n if close < 0 else close + 1
+                close = source.find(">", end.end()) if end else -1
+                if close < 0:
+                    return
+                begin = at = close + 1
                 continue
             if tag in ("html", "body"):
                 continue
             if tag in CLOSES_P:
-                self._end_paragraph(stack)
+                opened.end_paragraph()
             if tag in SIBLINGS:
-                tags, within = SIBLINGS[tag]
-                tags = tags.split()
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in within:
-                        break
-                    if self.tag[stack[k]] in tags:
-                        del stack[k:]
-                        break
+                opened.end_sibling(*SIBLINGS[tag])
             if tag in VOID:
                 continue
-            node = self._open(tag, found[3], stack[-1])
-            if not found[3].endswith("/") or tag not in INLINE:
-                stack.append(node)
-
-    def _end_paragraph(self, stack: list[int]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag == "p":
-                del stack[k:]
-                return
-            if tag not in INLINE:
-                break
-        while len(stack) > 1 and self.tag[stack[-1]] in INLINE:
-            stack.pop()
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            own = self.tag[stack[k]]
-            if own == tag:
-                del stack[k:]
-                return
-            if tag in INLINE and own not in INLINE:
-                return  # an inline end tag does not end blocks
+            node = self._open(tag, attributes, opened.nodes[-1])
+            if not attributes.endswith("/") or tag not in INLINE:
+                opened.push(node, tag)
+        put(source[begin:])
 
     def features(self) -> np.ndarray:
         """One row for each element."""
