@@ -1,23 +1,36 @@
 """Token ids by the tokenizers library, with words that occur again taken from a bounded cache.
 
-In the tokenizer file that is used here, white space always ends a pre-token, and so does a place where an ASCII
-letter and an ASCII sign other than the apostrophe meet; case makes no difference. So a text's ids are those of its
-lower-cased words, cut at such places, in turn. Each worker encodes a piece once and keeps its ids while the cache has
-room. Texts that spell out a special token are cut at white space alone, with their case.
+In the tokenizer file that is used here, white space always ends a pre-token, and so does a place between an ASCII
+letter and an ASCII sign other than the apostrophe, or between an ASCII digit and any other ASCII sign; case makes no
+difference. So a text's ids are those of its lower-cased words, cut at such places, in turn. Each worker encodes a piece
+once and keeps its ids while the cache has room. Texts that spell out a special token are cut at white space alone, with
+their case. All this is used only for files that say these rules; with any other file whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-from vitrine.llm.words import LOWER, Words, chunks, find_words, ragged
+from vitrine.llm.words import LOWER, Words, chunks, find_words, ragged, whole_texts
 
-#: Words in a worker's cache; it starts anew beyond that.
-CACHE_WORDS = 150_000
+#: Words in a worker's cache, and their bytes; it starts anew beyond that.
+CACHE_WORDS, CACHE_BYTES = 150_000, 8 << 20
 END_ID = 2
+#: What a tokenizer file says whose ids go by words, as its JSON.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Pieces that normalisation and pre-tokenisation leave as they are: lower-case letters of ASCII and Latin-1.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
@@ -45,7 +58,12 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        added = [t for t in spec["added_tokens"] if t["normalized"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])]
+        #: Whether texts may be cut into words; else each is encoded as a whole.
+        self.by_words = not added and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(spec[k] == v for k, v in RULES.items())
+        self.room = room if self.by_words else 0
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
@@ -55,6 +73,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.row: dict[bytes, int] = {}
+        self.held = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
@@ -68,6 +87,10 @@ class WordEncoder:
 
     def _add(self, missing: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in missing]
+        if not self.by_words:
+            lists = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            self._put(missing, np.fromiter((x for own in lists for x in own), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+            return
         plain = [i for i, t in enumerate(texts) if PLAIN(t)]
         merge, alphabet = self.merge, self.as_byte
         lists = [[t.id for t in merge(missing[i].decode("latin-1").translate(alphabet))] for i in plain]
@@ -75,7 +98,9 @@ class WordEncoder:
         ids, length = self._ids([texts[i] for i in rest]) if rest else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         ids = np.concatenate([np.fromiter((x for own in lists for x in own), np.uint32), ids])
         length = np.concatenate([np.fromiter(map(len, lists), np.int64, len(lists)), length])
-        missing = [missing[i] for i in plain] + [missing[i] for i in rest]
+        self._put([missing[i] for i in plain] + [missing[i] for i in rest], ids, length)
+
+    def _put(self, missing: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         n = len(self.row)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -86,11 +111,12 @@ class WordEncoder:
         self.length[n : n + len(missing)] = length
         self.start[n : n + len(missing)] = self.used + np.concatenate([[0], np.cumsum(length)[:-1]])
         self.used += len(ids)
+        self.held += sum(map(len, missing))
         self.row.update(zip(missing, range(n, n + len(missing)), strict=True))
 
     def rows(self, vocab: list[bytes]) -> np.ndarray:
         """Rows of start and length for distinct words."""
-        if len(self.row) + len(vocab) > max(self.room, len(vocab)):
+        if len(self.row) + len(vocab) > max(self.room, len(vocab)) or self.held > CACHE_BYTES:
             self._clear()
         get = self.row.get
         missing = [w for w in vocab if w not in self.row]
@@ -100,6 +126,8 @@ class WordEncoder:
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> Words:
         """The pieces of each text whose ids, one after the other, are the text's ids."""
+        if not self.by_words:
+            return whole_texts(data, offsets)
         low = LOWER[data]
         raw = low.tobytes()
         if any(s.lower() in raw for s in self.special):

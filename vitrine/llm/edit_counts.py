@@ -1,14 +1,16 @@
 """Token counts that follow edits: a segment tree of pre-token runs for each document.
 
-A leaf is a run of words with its bytes and its number of ids; inner nodes hold sums of both. An edit replaces bytes
-begin .. end of the current text. The tree finds the leaves it touches; these, widened by the neighbouring leaf where
-an edge of the edit has no white space on either side (white space always ends a pre-token), are encoded anew, and
-the sums above them are updated. All other leaves keep their counts.
+A leaf is a run of pre-tokens with its bytes and its number of ids; inner nodes hold sums of both. An edit replaces
+bytes begin .. end of the current text. The tree finds the leaves it touches; these, widened by the neighbouring leaf
+until both their edges are places where a pre-token ends for sure, are encoded anew, and the sums above them are
+updated. All other leaves keep their counts. Sure places are white space, and places between an ASCII digit and
+another ASCII sign or letter, or between an ASCII letter and an ASCII sign other than the apostrophe, unless a special
+token is spelt across them. A run of letters alone is one pre-token, however long: an edit within it encodes it anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import default_path, encoder
-from vitrine.llm.words import chunks, text_buffers
+from vitrine.llm.words import KIND, LOWER, MEETS, SPACE, chunks, text_buffers
 
 LEAF_WORDS = 32
 _SPACES = b" \t\n\v\f\r"
@@ -25,12 +27,33 @@ COUNTS = "doc_id long, n_edits int, n_tokens_before long, n_tokens_after long, n
 
 
 class TokenTree:
-    """Bytes and ids of a text by leaves. count: gives the number of ids of bytes that begin and end at word edges."""
+    """Bytes and ids of a text by leaves. count: gives the number of ids of bytes that begin and end where pre-tokens do;
+    special: tokens that are found in a text before anything else."""
 
-    def __init__(self, leaves: list[bytes], tokens: list[int], count: Callable[[bytes], int]):
+    def __init__(self, leaves: list[bytes], tokens: list[int], count: Callable[[bytes], int], special: Sequence[bytes] = ()):
         self.count, self.encoded = count, 0
+        self.special = [t.lower() for t in special]
+        self.reach = max(map(len, special), default=1)
         self._build(leaves, tokens)
 
+    def _sure(self, before: bytes, after: bytes) -> bool:
+        """Whether a pre-token ends for sure between these bytes: the last `reach` before, the first `reach` after."""
+        one, two = LOWER[before[-1]], LOWER[after[0]]
+        if SPACE[one] or SPACE[two]:
+            return True
+        if not MEETS[KIND[one] * KIND[two]]:
+            return False
+        return not any(t in (before[1 - len(t) :] + after[: len(t) - 1]).lower() for t in self.special)
+
+    def _bytes(self, begin: int, end: int) -> bytes:
+        """A few bytes of the text."""
+        out, begin = [], max(begin, 0)
+        while begin < min(end, self.n_bytes):
+            leaf, at = self.find(begin)
+            out.append(self.leaves[leaf][begin - at : end - at])
+            begin += len(out[-1])
+        return b"".join(out)
+
     def _build(self, leaves: list[bytes], tokens: list[int]) -> None:
         self.leaves = leaves or [b""]
         self.size = 1 << max(0, len(self.leaves) - 1).bit_length()
@@ -73,27 +96,27 @@ class TokenTree:
         """Replace bytes begin .. end of the current text by `put`."""
         begin = min(max(begin, 0), self.n_bytes)
         end = min(max(end, begin), self.n_bytes)
-        first, at = self.find(begin)
-        last, last_at = self.find(max(begin, end - 1)) if end > begin else (first, at)
-        middle = self.leaves[first : last + 1]
-        body = middle[0][: begin - at] + put + middle[-1][end - last_at :]
-        # Boundary context: a leaf whose edge now meets the next one without white space is encoded with it.
-        while first > 0 and body[:1].strip(_SPACES):
-            before = self.leaves[first - 1]
-            if before[-1:] and before[-1:] in _SPACES:
-                break
-            first, body = first - 1, before + body
-        while first > 0 and not body:
-            first -= 1
-            body = self.leaves[first]
-        while last + 1 < len(self.leaves) and body[-1:].strip(_SPACES):
-            after = self.leaves[last + 1]
-            if after[:1] and after[:1] in _SPACES:
-                break
-            last, body = last + 1, body + after
+        first, low = self.find(begin)
+        last, at = self.find(max(begin, end - 1)) if end > begin else (first, low)
+        high = at + len(self.leaves[last])
+        body = self.leaves[first][: begin - low] + put + self.leaves[last][end - at :]
+        # Boundary context: leaves on either side are taken in until both edges are sure ones, and joined once.
+        reach, left, right = self.reach, [], [body]
+        head, tail = body[:reach], body[-reach:]
+        while low > 0 and not (head and self._sure(self._bytes(low - reach, low), head)):
+            first, low = self.find(low - 1)
+            left.append(self.leaves[first])
+            head, tail = (left[-1] + head)[:reach], (left[-1] + tail)[-reach:] if len(tail) < reach else tail
+        while high < self.n_bytes and not (tail and self._sure(tail, self._bytes(high, high + reach))):
+            last, at = self.find(high)
+            right.append(self.leaves[last])
+            high = at + len(right[-1])
+            tail = (tail + right[-1])[-reach:]
+        body = b"".join([*reversed(left), *right])
         self.encoded += len(body)
         for leaf in range(first + 1, last + 1):
-            self._set(leaf, b"", 0)
+            if self.leaves[leaf]:
+                self._set(leaf, b"", 0)
         self._set(first, body, self.count(body))
 
     def text(self) -> bytes:
@@ -118,7 +141,7 @@ def trees(data: np.ndarray, offsets: np.ndarray, path: str) -> Iterator[tuple[in
             edge = np.append(np.arange(bounds[k], bounds[k + 1], LEAF_WORDS), bounds[k + 1])
             cut = [int(at[k]), *words.start[edge[1:-1]].tolist(), int(at[k + 1])]
             tokens = np.diff(ids[edge]).tolist()
-            yield a + k, TokenTree([raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], tokens if len(tokens) == len(cut) - 1 else [0], count)
+            yield a + k, TokenTree([raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], tokens if len(tokens) == len(cut) - 1 else [0], count, own.special)
 
 
 def count_after_edits(edits: DataFrame, tokenizer: str | None = None) -> DataFrame:

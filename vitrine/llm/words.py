@@ -19,10 +19,15 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: 1: a-z; 2: ASCII signs other than the apostrophe. Where both meet, a pre-token always ends.
+#: 1: a-z; 3: ASCII signs other than the apostrophe; 7: ASCII digits; 11: the apostrophe; 0: all else. What a pre-token
+#: always ends between shows in the product of both: a letter and a sign, a digit and anything but 0.
 KIND = np.zeros(256, np.uint8)
 KIND[97:123] = 1
-KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 3
+KIND[48:58] = 7
+KIND[39] = 11
+MEETS = np.zeros(256, bool)
+MEETS[[1 * 3, 7 * 1, 7 * 3, 7 * 7, 7 * 11]] = True
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ class Words:
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, pieces: bool = False) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text; lower: with A-Z as a-z; pieces: words cut where letters meet signs."""
+    """Words `[^\\x20\\x09-\\x0D]+` of each text; lower: with A-Z as a-z; pieces: words cut where pre-tokens end for sure."""
     if lower:
         data = LOWER[data]
     inside = ~SPACE[data]
@@ -98,7 +103,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, piece
         last[offsets[1:][full] - 1] = True
         if pieces:
             kind = KIND[data]
-            meet = np.flatnonzero(kind[1:] * kind[:-1] == 2)
+            meet = np.flatnonzero(MEETS[kind[1:] * kind[:-1]])
             first[meet + 1] = True
             last[meet] = True
     start, end = np.flatnonzero(inside & first), np.flatnonzero(inside & last) + 1
@@ -111,6 +116,15 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, piece
     return Words(data, offsets, start, end, doc, codes, coded.dictionary)
 
 
+def whole_texts(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Each text that is not empty as one word."""
+    doc = np.flatnonzero(offsets[1:] > offsets[:-1])
+    start, end = offsets[doc], offsets[doc + 1]
+    column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.take(pa.array(doc)).dictionary_encode()
+    return Words(data, offsets, start, end, doc, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary)
+
+
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers start[i], start[i]+1 ... for length[i] of them, for each i in turn."""
     total = int(length.sum())
