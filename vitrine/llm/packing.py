@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import END_ID, default_path, encoder
-from vitrine.llm.storage import stored
+from vitrine.llm.storage import free_name, stored
 from vitrine.llm.words import text_buffers
 
 CAPACITY = 4096
-#: Windows that a group of pieces makes, about; a group is worked on by one task.
-GROUP_WINDOWS = 256
+#: Windows that a group of pieces makes, about, and pieces that it has, about; a group is worked on by one task.
+GROUP_WINDOWS, GROUP_PIECES = 256, 1 << 16
+#: Bits of a node's number beside its sum.
+NODE_BITS = 32
 #: Added to a piece's number for the id of a window that it fills alone.
 ALONE = 1 << 62
 
@@ -31,41 +33,45 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
-    """Deal the sizes into k windows: the window of each."""
+    """Deal the sizes into k windows: the window of each.
+
+    A partial partition is the sorted list of its windows that hold anything, each its sum and its node; a node is a
+    piece, or two nodes that came into one window. So memory grows with the pieces alone, whatever k is.
+    """
     n = len(sizes)
     if n <= k:
         return np.arange(n)
-    left, right, order = [], [], []  # of merged partitions, numbered from n on
-    sums = {}
-    heap = []
-    for i, s in enumerate(sizes.tolist()):
-        own = np.zeros(k, np.int64)
-        own[0] = s
-        sums[i] = own
-        heap.append((-s, i))
+    parts = [[(s << NODE_BITS) + i] for i, s in enumerate(sizes.tolist())]
+    heap = [(-s, i) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
+    left, right = [], []  # of nodes from n on
+    low = (1 << NODE_BITS) - 1
     while len(heap) > 1:
-        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        both = sums.pop(a) + sums.pop(b)[::-1]
-        way = np.argsort(-both, kind="stable")
-        node = n + len(order)
-        sums[node] = both[way]
-        left.append(a)
-        right.append(b)
-        order.append(way.astype(np.int32))
-        heapq.heappush(heap, (int(sums[node][-1] - sums[node][0]), node))
-    window = np.empty(n, np.int64)
-    slots = {heap[0][1]: np.arange(k)}  # the window that each slot of a partition has in the end
-    for node in range(n + len(order) - 1, n - 1, -1):
-        own = slots.pop(node)
-        before = np.empty(k, np.int64)
-        before[order[node - n]] = own
-        for child, place in ((left[node - n], before), (right[node - n], before[::-1])):
-            if child < n:
-                window[child] = place[0]
-            else:
-                slots[child] = place
-    return window
+        _, a = heapq.heappop(heap)
+        _, b = heap[0]
+        one, two = parts[a], parts[b]
+        parts[a] = None
+        meet = len(one) + len(two) - k
+        if meet > 0:  # no empty window is left: the fullest of these with the emptiest of those
+            both = []
+            for x, y in zip(one[:meet], reversed(two[:meet]), strict=True):
+                both.append(((x >> NODE_BITS) + (y >> NODE_BITS) << NODE_BITS) + n + len(left))
+                left.append(x & low)
+                right.append(y & low)
+            both += one[meet:]
+            both += two[meet:]
+        else:
+            both = one + two
+        both.sort()
+        parts[b] = both
+        most, least = both[-1] >> NODE_BITS, both[0] >> NODE_BITS if len(both) == k else 0
+        heapq.heapreplace(heap, (least - most, b))
+    window = [0] * (n + len(left))
+    for w, slot in enumerate(parts[heap[0][1]]):
+        window[slot & low] = w
+    for node in range(n + len(left) - 1, n - 1, -1):
+        window[left[node - n]] = window[right[node - n]] = window[node]
+    return np.array(window[:n], np.int64)
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -111,30 +117,44 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
 def assign(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """Give pieces (length at most the capacity; any other columns) their sequence_id and offset.
 
-    Rows may repeat; each is a piece of its own. An empty table gives an empty result.
+    Columns sequence_id and offset that pieces have already give way to the new ones; all others stay. Rows may repeat;
+    each is a piece of its own. An empty table gives an empty result. Which sequence a piece comes to hangs on the order
+    in which the table is read; that it is in exactly one does not.
     """
-    kept = [c for c in pieces.columns if c not in ("piece_id", "pack_group", "sequence_id", "offset")]
-    table = stored(pieces.select(*kept, F.monotonically_increasing_id().alias("piece_id")), "pieces")
-    whole = table.where(F.col("length") >= capacity).withColumns({"sequence_id": F.col("piece_id") + F.lit(ALONE), "offset": F.lit(0).cast("long")})
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    own, part = free_name("piece", kept), free_name("group", kept)
+    table = stored(pieces.select(*kept, F.monotonically_increasing_id().alias(own)), "pieces")
+    whole = table.where(F.col("length") >= capacity).withColumns({"sequence_id": F.col(own) + F.lit(ALONE), "offset": F.lit(0).cast("long")})
     rest = table.where(F.col("length") < capacity)
-    total = rest.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (capacity * group_windows)))
+    total, count = rest.agg(F.sum("length"), F.count(F.lit(1))).first()
+    groups = max(1, round((total or 0) / (capacity * group_windows)), -(-count // GROUP_PIECES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", sequence_id long, offset long"
 
     def place(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="pack_group").sort_values("piece_id", ignore_index=True)
+        rows = rows.drop(columns=part).sort_values(own, ignore_index=True)
         window = pack(rows["length"].to_numpy(), capacity)
         rows["sequence_id"] = (int(key[0]) << 32) + window
         rows = rows.iloc[np.argsort(window, kind="stable")]
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
         return rows
 
-    group = F.pmod(F.xxhash64("piece_id"), F.lit(groups)).alias("pack_group")
-    packed = rest.select("*", group).groupBy("pack_group").applyInPandas(place, schema)
-    return packed.unionByName(whole).drop("piece_id")
+    group = F.pmod(F.xxhash64(own), F.lit(groups)).alias(part)
+    packed = rest.select("*", group).groupBy(part).applyInPandas(place, schema)
+    return packed.unionByName(whole).drop(own)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """The packing digest: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """The packing digest: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A null or empty text has the end id alone; a null doc_id stays null; rows may repeat, each is packed; a long text is
+    cut at multiples of the capacity; other columns are left alone; an empty table gives an empty result.
+    """
     pieces = cut_pieces(docs, capacity, tokenizer)
     return assign(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), capacity)
+
+
+def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+    """The pieces with their ids (little-endian unsigned 32-bit), to be laid at their offsets into their sequences:
+    columns of pack_documents and ids. Odd rows as there."""
+    pieces = cut_pieces(docs, capacity, tokenizer)
+    return assign(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "ids"), capacity)
