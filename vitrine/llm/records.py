@@ -76,7 +76,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     """Encode every whole text and write shards of records in ascending doc_id order; returns the stored manifest.
 
     docs needs doc_id and text; other columns are left alone. A null text is empty, a null doc_id comes first, rows
-    with one doc_id come in the order of their texts. An empty table writes no shard.
+    with one doc_id come in the order of their texts' hashes, rows alike in both in any; they are dealt out by a sign of
+    their own, so that no doc_id fills one shard. A long text is one record. An empty table writes no shard.
     """
     path = tokenizer or default_path()
 
@@ -114,9 +115,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             index.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "records": [names[0]], "index": [names[1]], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(write, MANIFEST), "manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "salt": F.xxhash64(F.monotonically_increasing_id())})
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "h", "salt").sortWithinPartitions("doc_id", "h")
+    return stored(ordered.select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_at(folder: str, records: str, at: int) -> tuple[int | None, np.ndarray]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.storage import shuffle_partitions, stored
+from vitrine.llm.storage import free_name, shuffle_partitions, stored
 from vitrine.llm.words import mix64
 
 SHARDS, SEED, ROUNDS = 8, 20240607, 6
@@ -53,22 +53,29 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tu
     """Number all rows from 0 in the given order without bringing them together; returns the rows and their number.
 
     Rows are sorted by range partitions and counted in each; the counts, a row for each partition, give every
-    partition its first number. Rows that are equal in all of `order` are numbered in any order.
+    partition its first number. Rows that are equal in all of `order` are numbered in any order, and a sign of their
+    own deals them out to as many partitions as they need. A column `name` that df has gives way to the new one.
     """
-    sorted_rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    inner = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    table = stored(sorted_rows.select("*", F.spark_partition_id().alias("_part"), inner.alias("_inner")), "numbered")
-    counts = table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    kept = [c for c in df.columns if c != name]
+    salt, part, inner, first = (free_name(c, [*df.columns, name]) for c in ("salt", "part", "inner", "first"))
+    salted = df.withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
+    sorted_rows = salted.repartitionByRange(shuffle_partitions(df.sparkSession), *order, salt).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    table = stored(sorted_rows.select(*df.columns, F.spark_partition_id().alias(part), place.alias(inner)), "numbered")
+    counts = table.groupBy(part).agg(F.count(F.lit(1)).alias("n")).orderBy(part).collect()
     n, starts = 0, []
     for row in counts:
-        starts.append((row["_part"], n))
+        starts.append((row[part], n))
         n += row["n"]
-    first = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _first long")
-    return table.join(F.broadcast(first), "_part").select(*df.columns, (F.col("_first") + F.col("_inner")).alias(name)), n
+    firsts = df.sparkSession.createDataFrame(starts or [(0, 0)], f"{part} int, {first} long")
+    return table.join(F.broadcast(firsts), part).select(*kept, (F.col(first) + F.col(inner)).alias(name)), n
 
 
 def shard_rows(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Add row_number, shard and slot to df's columns. An empty table gives an empty result; rows may repeat."""
+    """Add row_number, shard and slot to df's columns; columns of these names that df has give way, but may be in `order`.
+
+    An empty table gives an empty result; rows may repeat; nulls come first in the order; other columns stay as they are.
+    """
     numbered, n = number_rows(df, order)
 
     @F.pandas_udf("long")
@@ -76,16 +83,17 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int
         for part in parts:
             yield pd.Series(permute(part.to_numpy(), n, seed))
 
-    return numbered.withColumn("_place", place("row_number")).select(
-        *df.columns, "row_number", (F.col("_place") % shards).cast("int").alias("shard"), F.expr(f"_place div {int(shards)}").alias("slot")
-    )
+    kept = [c for c in df.columns if c not in ("row_number", "shard", "slot")]
+    at = free_name("place", numbered.columns)
+    return numbered.withColumn(at, place("row_number")).select(*kept, "row_number", (F.col(at) % shards).cast("int").alias("shard"), F.expr(f"{at} div {int(shards)}").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All documents under the law `rows`: shard counts are at most one row apart, a hot text or source changes nothing.
 
     A null text has size 1 and crc 0; a null doc_id comes first in the row order; the order of rows with one doc_id is
-    that of their size and crc.
+    that of their size and crc, and rows alike in all three take any order, each a place of its own. Long texts are
+    measured where they lie; other columns are left alone; an empty table gives an empty result.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
