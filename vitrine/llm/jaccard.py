@@ -9,8 +9,9 @@ matches choose how many segments of each kind a band has. A segment that is empt
 without shingles there would meet); slack pays for such segments, and a set whose budget falls short nevertheless is
 also indexed by each of its shingles. So every pair that reaches the threshold shares a key.
 
-Sets that share a key meet at the smallest document of the key (its pivot). A pivot's family is small as a rule; large
-ones are dealt as pairs of blocks. In a family all pairs are decided exactly on the shingles themselves, by postings,
+Sets that share a key meet at the smallest set of the key (its pivot). A pivot's family is small as a rule; large ones
+are dealt as pairs of blocks, so n near copies of one text cost n squared comparisons and n / FAMILY_BLOCK copies of each
+text. In a family all pairs are decided exactly on the shingles themselves, by postings,
 and a spanning forest of the links goes out: it has the components of all links and at most one row for each member.
 """
 
@@ -21,18 +22,20 @@ from functools import cache
 from math import exp, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.components import components
-from vitrine.llm.storage import stored
+from vitrine.llm.storage import discard, free_name, shuffle_partitions, stored
 from vitrine.llm.words import chunks, find_words, mix64, ragged, text_buffers
 
 SHINGLE_WORDS, NUM, DEN = 4, 85, 100
-#: Members of a family that one task takes; a larger family is dealt as pairs of blocks of this size.
-FAMILY_BLOCK = 1024
+#: Members of a family, and shingles that they have together, that one task takes; a larger family is dealt as pairs of
+#: blocks of about this size.
+FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 1 << 19
+#: A key that so many classes share, by a part of the classes (one of HOT_PART), is handled apart.
+HOT_KEY, HOT_PART = 1 << 14, 64
 #: Ids that are broadcast at most (16 bytes each, before the hash table).
 BROADCAST_IDS = 500_000
 #: What a key costs, and what the chance match of a subset of one shingle costs; each further shingle makes it 4 times less likely.
@@ -164,39 +167,52 @@ def set_keys(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tupl
     return keys[order].view(np.int64), np.concatenate([[0], np.cumsum(count)])
 
 
-def _sets(docs: DataFrame, width: int, num: int, den: int, keys: bool) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (a 128-bit fingerprint of the set), and the index keys if asked for."""
+SETS = "doc_id long, th long, n_shingles long, f1 long, f2 long, keys array<long>"
+
+
+def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, th (a hash of the text), n_shingles, f1, f2 (a 128-bit fingerprint of the set), and its index keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc_id = batch.column("doc_id")
+            doc_id, th = batch.column("doc_id"), batch.column("th")
             for a, hashes, bounds in shingle_hashes(*text_buffers(batch.column("text")), width):
                 n = len(bounds) - 1
+                values, at = set_keys(hashes, bounds, num, den)
                 columns = [
                     doc_id.slice(a, n),
+                    th.slice(a, n),
                     pa.array(np.diff(bounds)),
                     pa.array(_sums(mix64(hashes + _U(1)), bounds).view(np.int64)),
                     pa.array(_sums(mix64(hashes ^ _U(0xE7037ED1A0B428DB)), bounds).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)),
                 ]
-                if keys:
-                    values, at = set_keys(hashes, bounds, num, den)
-                    columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", *["keys"] * keys])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n_shingles", "f1", "f2", "keys"])
+
+    return _texts(docs).mapInArrow(work, SETS)
 
+
+def _texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, f1 long, f2 long" + ", keys array<long>" * keys)
+    return rows.withColumn("th", F.xxhash64("text"))
 
 
-def family_links(ids: np.ndarray, texts: list[str], width: int, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of these texts, each pair decided on its shingles."""
+def family_links(texts: list[str], width: int, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets of these texts, each pair decided on its shingles; by their places."""
     number: dict[tuple, int] = {}
     members: list[np.ndarray] = []
     for text in texts:
         words = text.encode().lower().split()
-        pieces = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+        if len(words) > width:
+            pieces = set(zip(*(words[k:] for k in range(width)), strict=False))
+        else:
+            pieces = {tuple(words)} if words else set()
         members.append(np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces)))
+    if len(members) == 2:  # most families
+        both = len(members[0]) + len(members[1]) - len(number)
+        return [(0, 1)] if both and both * den >= num * len(number) else []
     size = np.array([len(m) for m in members], np.int64)
     flat = np.concatenate(members) if members else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(members)), size)
@@ -218,61 +234,140 @@ def family_links(ids: np.ndarray, texts: list[str], width: int, num: int, den: i
             met = np.bincount(posting[ragged(at[members[x]], df[members[x]])], minlength=len(members))
             linked = left & (met * den >= num * (size + size[x] - met)) & (size > 0)
             for y in np.flatnonzero(linked).tolist():
-                links.append((int(ids[x]), int(ids[y])))
+                links.append((x, y))
                 queue.append(y)
             left[linked] = False
     return links
 
 
+def _classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, found), both stored: doc_id, th, n_shingles, f1, f2 of all rows; and for the sets that several rows have or
+    links reach f1, f2, n_shingles, component (the same for all sets of a component) and least, its smallest doc_id."""
+    full = stored(_sets(docs, width, num, den), "sets")
+    # A class is all rows with one set; its keys come once, from the row with the smallest doc_id and text hash.
+    same = full.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles")
+    first = same.agg(F.min_by(F.struct("doc_id", "th", "keys"), F.struct("doc_id", "th")).alias("r"), F.count(F.lit(1)).alias("n_rows"))
+    classes = stored(first.select(F.monotonically_increasing_id().alias("cid"), "r.doc_id", "r.th", "r.keys", "f1", "f2", "n_shingles", "n_rows"), "classes")
+    sets = stored(full.drop("keys"), "slim")
+    discard(full)
+    families = _families(classes)
+    links = stored(_family_pairs(docs, classes, families, width, num, den), "links")
+    reached = components(links)
+    slim = classes.drop("keys", "th").join(reached.withColumnRenamed("node", "cid"), "cid", "left").where("n_rows > 1 or component is not null")
+    slim = stored(slim.withColumn("component", F.coalesce("component", "cid")), "reached")
+    least = slim.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = stored(slim.join(least, "component").select("f1", "f2", "n_shingles", "component", "least"), "found")
+    discard(classes, families, links, reached, slim)
+    return sets, found
+
+
+def _families(classes: DataFrame) -> DataFrame:
+    """pivot, cid: classes that share a key, and the smallest class of that key; stored."""
+    rows = classes.select("cid", F.explode("keys").alias("key"))
+    by_key = Window.partitionBy("key")
+    shared = lambda df: df.select("cid", F.min("cid").over(by_key).alias("pivot"), F.count(F.lit(1)).over(by_key).alias("n")).where("n > 1").select("pivot", "cid")
+    # Keys that stand out in a part of the classes are gathered before the shuffle and joined back; which they are changes
+    # no result.
+    some = rows.where(F.pmod(F.xxhash64("cid"), F.lit(HOT_PART)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(some.where(F.col("n") * HOT_PART >= HOT_KEY).select("key"), "hot")
+    if hot.isEmpty():
+        out = shared(rows)
+    else:
+        own = rows.join(hot, "key", "left_semi")
+        out = shared(rows.join(hot, "key", "left_anti")).unionByName(own.join(own.groupBy("key").agg(F.min("cid").alias("pivot")), "key").select("pivot", "cid"))
+    out = stored(out.distinct(), "families")
+    discard(hot)
+    return out
+
+
 def linked_components(docs: DataFrame, width: int = SHINGLE_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of Jaccard >= num/den reach.
 
     Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; sets of distinct shingles of `width` words, the whole sequence
-    where there are fewer. A null or empty text has an empty set and is linked with nothing. Rows may repeat; rows of
-    one doc_id must have one text, else each is in the component of its own set. doc_id null is kept as its own.
-    Other columns are left alone. An empty table gives an empty result.
+    where there are fewer. A null or empty text has an empty set and is linked with nothing: its component is its own
+    doc_id. Rows may repeat; each row goes by its own text, also where a doc_id has several: those are documents of their
+    own that share an id. A row with a null doc_id takes no part, its component is null. A long text is one set as any
+    other. Other columns are left alone. An empty table gives an empty result.
     """
-    # A text's keys ride along with its fingerprint, so copies are gone before any key is dealt out.
-    same = _sets(docs, width, num, den, True).where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles")
-    classes = stored(same.agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep")), "classes")
-    rows = classes.select("rep", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    shared = rows.select("rep", F.min("rep").over(by_key).alias("pivot"), F.count(F.lit(1)).over(by_key).alias("n")).where("n > 1")
-    families = stored(shared.select("pivot", "rep").distinct(), "families")
-    links = stored(_family_pairs(docs, families, width, num, den), "links")
-    found = components(links)
-    rep = classes.select("f1", "f2", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left")
-    rep = rep.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    every = _sets(docs, width, num, den, False)
-    return every.join(rep, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sets, found = _classes(docs, width, num, den)
+    every = sets.join(found, ["f1", "f2", "n_shingles"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return every.select("doc_id", "n_shingles", F.when(linked, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _family_pairs(docs: DataFrame, families: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _family_pairs(docs: DataFrame, classes: DataFrame, families: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Spanning forests of all families: a, b."""
-    sizes = families.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int"))
-    placed = families.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    members = stored(classes.select("cid", "doc_id", "th", "n_shingles").join(families.select("cid").distinct(), "cid", "left_semi"), "members")
+    sized = families.join(members.select("cid", "n_shingles"), "cid").groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.least(F.ceil(F.col("size") / FAMILY_SHINGLES), F.col("n"))).cast("int")
+    large = stored(sized.select("pivot", blocks.alias("blocks")).where("blocks > 1"), "large")
+    placed = families.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     # A member of block i is needed in the tasks (i, j) of all j; most families have one block and one task.
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("pivot", "rep", "block", others).select("pivot", "rep", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    reps = stored(families.select("rep").distinct(), "members")
+    placed = placed.select("pivot", "cid", "block", others).select("pivot", "cid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # Few members: their ids go to the texts, and only their texts are dealt out. More: both are dealt out by id.
-    few = reps.count() <= BROADCAST_IDS
-    # Of rows with one doc_id any will do for the set; take one.
-    needed = texts.join(F.broadcast(reps) if few else reps, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
-    met = placed.join(needed, "rep")
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
-        links = family_links(rows["rep"].to_numpy(), rows["text"].tolist(), width, num, den)
-        return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]}, dtype="int64")
+    few = members.count() <= BROADCAST_IDS
+    named = members.select("cid", "doc_id", "th")
+    needed = _texts(docs).join(F.broadcast(named) if few else named, ["doc_id", "th"]).groupBy("cid").agg(F.min("text").alias("text"))
+    dealt = placed.join(needed, "cid").withColumn("h", F.xxhash64("pivot", "i", "j"))
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h", "pivot", "i", "j", "cid").drop("h")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Families lie one after the other; one that a batch ends in is carried on."""
+        name, ids, texts = None, [], []
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(texts) > 1:
+                found.extend((ids[x], ids[y]) for x, y in family_links(texts, width, num, den))
+            ids.clear()
+            texts.clear()
+
+        def out() -> pa.RecordBatch:
+            columns = np.array(found, np.int64).reshape(-1, 2).T
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
 
-    return met.groupBy("pivot", "i", "j").applyInPandas(decide, "a long, b long")
+        for batch in batches:
+            family = zip(*(batch.column(c).to_pylist() for c in ("pivot", "i", "j")), strict=True)
+            column = batch.column("text")
+            for k, (own, one) in enumerate(zip(family, batch.column("cid").to_pylist(), strict=True)):
+                if own != name:
+                    close()
+                    name = own
+                ids.append(one)
+                texts.append(column[k].as_py())
+            if found:
+                yield out()
+        close()
+        if found:
+            yield out()
+
+    return dealt.mapInArrow(decide, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; columns as before. Documents without words
-    are linked with nothing and stay."""
-    out = stored(linked_components(docs, width, num, den).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
-    few = out.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(out) if few else out, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays, one with the smallest doc_id and, of its texts, the smallest hash; columns as before.
+
+    Of rows alike in both any one stays. Rows without words or with a null doc_id are linked with nothing and stay, as often
+    as they come. Other columns, whatever their names, go along. An empty table gives an empty result.
+    """
+    sets, found = _classes(docs, width, num, den)
+    rows = sets.where("n_shingles > 0 and doc_id is not null").join(found, ["f1", "f2", "n_shingles"]).select("doc_id", "th", "component")
+    rows = stored(rows.groupBy("doc_id", "th", "component").agg(F.count(F.lit(1)).alias("alike")), "linked")
+    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("chosen"))
+    stays = F.struct("doc_id", "th") == F.col("chosen")
+    away = stored(rows.join(chosen, "component").where(~stays | (F.col("alike") > 1)).select("doc_id", "th", stays.alias("stays")), "away")
+    few = away.count() <= BROADCAST_IDS
+    discard(sets, found, rows)
+    own, text_hash, flag = (free_name(c, docs.columns) for c in ("id", "th", "stays"))
+    named = away.select(F.col("doc_id").alias(own), F.col("th").alias(text_hash), F.col("stays").alias(flag))
+    wide = docs.withColumns({own: F.col("doc_id").cast("long"), text_hash: F.xxhash64(F.col("text").cast("string"))})
+    small = lambda df: F.broadcast(df) if few else df
+    kept = wide.join(small(named), [own, text_hash], "left_anti").select(*docs.columns)
+    if away.where("stays").isEmpty():
+        return kept
+    # Rows that repeat: one of each stays; they are gathered before the shuffle.
+    again = wide.join(small(named.where(flag)), [own, text_hash], "left_semi").dropDuplicates([own, text_hash])
+    return kept.unionByName(again.select(*docs.columns))
