@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.storage import stored
+from vitrine.llm.storage import free_name, stored
 
 #: Target entropy: so far from the sources' own entropy (0) to that of equal weights (1).
 ENTROPY_GAIN = 0.5
@@ -117,11 +117,16 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: float = MAX_REPEATS, budget_ratio: float = 1.0) -> DataFrame:
-    """The documents of the mix, as often as it takes them; columns as before. Texts stay where they are: the sources'
-    passes and cuts, a row for each source, go to the documents."""
+    """The documents of the mix, as often as it takes them; columns as before, whatever their names. Texts stay where they
+    are: the sources' passes and cuts, a row for each source, go to the documents.
+
+    A null source is the source ''; a null or empty text counts its end token; rows with one doc_id in a source, null
+    among them, are taken together; a long text is one document as any other; an empty table gives an empty result.
+    """
     sources = stored(plan(docs, gain, max_repeats, budget_ratio)[1], "mix")
     few = sources.count() <= BROADCAST_SOURCES
-    sources = sources.select(F.col("src").alias("_src"), F.col("passes").alias("_passes"), F.col("cut").alias("_cut"))
-    wide = docs.join(F.broadcast(sources) if few else sources, source_of() == F.col("_src"))
-    more = F.coalesce(order_key(F.col("_passes")) <= F.col("_cut"), F.lit(False)).cast("int")
-    return wide.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_passes") + more))).select(*[docs[c] for c in docs.columns])
+    src, passes, cut, copy = (free_name(c, docs.columns) for c in ("src", "passes", "cut", "copy"))
+    sources = sources.select(F.col("src").alias(src), F.col("passes").alias(passes), F.col("cut").alias(cut))
+    wide = docs.join(F.broadcast(sources) if few else sources, source_of() == F.col(src))
+    more = F.coalesce(order_key(F.col(passes)) <= F.col(cut), F.lit(False)).cast("int")
+    return wide.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(passes) + more))).select(*docs.columns)

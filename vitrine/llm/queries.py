@@ -118,12 +118,12 @@ with recursive tab as (  -- the remainder of each byte
 select doc_id, size, text_crc32, 'rows' as law, (place % 8)::int as shard, place // 8 as slot, null::int as grown_shard, row_number from r join p using (row_number)""",
     "op3_exact_topk": """
 with v as (
-  select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+  from (select distinct * from v) q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
   where q.vec_id % 100 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",

@@ -79,21 +79,24 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """queries and candidates: vec_id long, v array<long>. Returns query_id, rank, vec_id, score.
 
-    A row's own id is no candidate of it. Vectors of another length than the query's are none either. Rows that are
-    alike in id and vector count once; an id with several vectors is one candidate for each, and one query for each.
-    Empty tables give an empty result. Queries are dealt to cells of candidates in blocks: a query meets every cell
-    once and brings back its k best there, so what is shuffled is queries times cells, not pairs.
+    A row's own id is no candidate of it. Vectors of another length than the query's are none either. Every row is a
+    candidate, also one that repeats another; a query that repeats is asked once, and an id with several vectors has the
+    best of them all. Scores must fit 64 bits; a table whose vectors could go beyond raises an error. Empty tables give an
+    empty result. Queries are dealt to cells of candidates in blocks, and candidates to cells by a number of their own,
+    so that alike rows fill no cell: a query meets every cell once and brings back its k best there, so what is shuffled
+    is queries times cells, not pairs.
     """
-    queries, candidates = queries.dropDuplicates(["vec_id", "v"]), candidates.dropDuplicates(["vec_id", "v"])
-    table, asked = stored(candidates, "candidates"), stored(queries, "queries")
+    queries = queries.dropDuplicates(["vec_id", "v"])
+    table = stored(candidates.withColumn("no", F.monotonically_increasing_id()), "candidates")
+    asked = stored(queries, "queries")
+    _check_range(table)
     n, n_asked = table.count(), asked.count()
     cells, blocks = max(1, -(-n // CELL_ROWS)), max(1, -(-n_asked // CELL_QUERIES))
     # As many cells as there are tasks to fill, while a cell still has a few thousand candidates.
     cells = max(cells, min(table.sparkSession.sparkContext.defaultParallelism, -(-n // 2048)))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    own = lambda m: F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)).cast("int")
-    left = table.select(F.size("v").alias("dims"), own(cells).alias("cell"), numbers(blocks).alias("block"), "vec_id", "v")
-    right = asked.select(F.size("v").alias("dims"), numbers(cells).alias("cell"), own(blocks).alias("block"), "vec_id", "v")
+    left = table.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("no"), F.lit(cells)).cast("int").alias("cell"), numbers(blocks).alias("block"), "vec_id", "v")
+    right = asked.select(F.size("v").alias("dims"), numbers(cells).alias("cell"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
     key = ["dims", "cell", "block"]
 
     def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
@@ -112,6 +115,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _check_range(table: DataFrame) -> None:
+    """An error if the product of two of these vectors could leave 64 bits."""
+    most = table.select(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))).alias("x"), F.size("v").alias("n")).agg(F.max("x"), F.max("n")).first()
+    if most[0] is not None and most[0] * most[0] * most[1] >= 2.0**62:
+        raise ValueError("components are too large: scores could leave 64 bits")
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     rows = column.to_numpy()
     return np.concatenate(rows).astype(np.int64).reshape(len(rows), -1) if len(rows[0]) else np.zeros((len(rows), 0), np.int64)
