@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -101,6 +102,39 @@ def test_field_gradient():
             assert abs((loss(*((q, c) if at == 0 else (w, q))) - loss(w, c)) / 1e-6 - g[i]) < 1e-4
 
 
+def test_lines_are_labelled(spark):
+    """Good texts keep their prose and lose the boilerplate that is planted in them; both labels stand in one text."""
+    r = random.Random(21)
+    line = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(8, 25))).capitalize() + "."
+    junk = lambda: " ".join(r.choice(WORDS) + r.choice(["***", "$$$", "%%%"]) for _ in range(30))
+    good = lambda: "\n".join(line() for _ in range(r.randint(5, 9)))
+    poor = lambda: "\n".join([line(), *(junk() for _ in range(4)), line()])
+    rows = [(k, good() if k % 3 else poor(), "s") for k in range(150)]
+    menu, rights = ["Home | About | Contact | Log in | Privacy policy", "Subscribe to our newsletter!"], ["Copyright 2024 Some Site. All rights reserved.", "Terms and conditions | Cookie policy"]
+    mixed = []
+    for k in range(20):
+        prose_lines = [line() for _ in range(8)]
+        mixed.append((1000 + k, menu + prose_lines + rights))
+    known = marks(spark, [(k, int(k % 3 > 0), 0) for k in range(150)])
+    docs = frame(spark, rows + [(d, "\n".join(x), "s") for d, x in mixed])
+    out = defaultdict(dict)
+    for x in quality.judge_lines(docs, known).collect():
+        out[x.doc_id][x.line] = (x.content, x.begin, x.end)
+    right = wrong = 0
+    for d, lines in mixed:
+        assert [lines[k].encode() for k in range(len(lines))] == ["\n".join(lines).encode()[out[d][k][1] : out[d][k][2]] for k in range(len(lines))]
+        for k in range(len(lines)):
+            ok = out[d][k][0] == (2 <= k < 10)
+            right, wrong = right + ok, wrong + (not ok)
+    assert right / (right + wrong) > 0.95
+    share = {x.doc_id: (x.content_share, x.kept) for x in quality.judge_documents(docs, known).collect()}
+    assert all(0.5 < share[d][0] < 1 and share[d][1] for d, _ in mixed)
+    poor_lines = [out[d][k][0] for d in range(0, 150, 3) for k in (1, 2, 3, 4)]
+    assert np.mean(poor_lines) < 0.05
+    assert quality.judge_lines(docs.limit(0), known).count() == 0
+    assert [tuple(x) for x in quality.judge_lines(frame(spark, [(1, None, "s"), (None, "a", "s")]), known.limit(0)).collect()] in ([(1, 0, 0, 0, True), (None, 0, 0, 1, True)], [(None, 0, 0, 1, True), (1, 0, 0, 0, True)])
+
+
 def test_quality_without_labels(spark):
     out = quality.judge_documents(frame(spark, [(1, prose(60), "s")]), marks(spark, [])).collect()
     assert [r.kept for r in out] == [True]
@@ -138,6 +172,38 @@ def test_network_gradient():
             assert abs((up - down) / 2e-3 - grad[name][i]) < 2e-3, name
 
 
+def test_scores_equal_a_plain_network():
+    """A word at a time and a window at a time, over whole texts, from the same parameters."""
+    r = random.Random(3)
+    texts = [prose(n, r) for n in (1, 5, 63, 64, 65, 130, 400)] + ["", None, "x" * 300, "!!! ??"]
+    rows = [(k, prose(r.randint(5, 120), r) + (" vile scum" if k % 2 else ""), k % 2) for k in range(60)]
+    model = toxicity.fit(rows)
+    got = model.scores(*text_buffers(pa.array(texts, pa.string())))
+    p, h = {k: v.astype(np.float64) for k, v in model.network.p.items()}, toxicity.HIDDEN
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def states(xs, d):
+        w, u, b, s, out = p[f"w{d}"], p[f"u{d}"], p[f"b{d}"], np.zeros(h), []
+        for x in xs if d == "f" else xs[::-1]:
+            g = x @ w + b
+            z, reset = sig(g[:h] + s @ u[:, :h]), sig(g[h : 2 * h] + s @ u[:, h : 2 * h])
+            s = (1 - z) * s + z * np.tanh(g[2 * h :] + (reset * s) @ u[:, 2 * h :])
+            out.append(s)
+        return out if d == "f" else out[::-1]
+
+    for text, score in zip(texts, got, strict=True):
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in (text or "").encode().split()]
+        logits = []
+        for a in [0] if 0 < len(words) <= 64 else range(0, len(words) - 32, 32) if words else []:
+            v = toxicity.vocabulary(pa.array(words[a : a + 64], pa.large_binary()))
+            xs = model.network.inputs(v, model.ratio).astype(np.float64)
+            both = [np.concatenate(x) for x in zip(states(xs, "f"), states(xs, "b"), strict=True)]
+            weight = np.exp([x @ p["a"] for x in both])
+            logits.append(float(sum(w * x for w, x in zip(weight, both, strict=True)) / weight.sum() @ p["o"] + p["c"][0]))
+        top, mean = (max(logits), np.mean(logits)) if logits else (0.0, 0.0)
+        assert abs(sig(model.network.final @ [top, mean, 1.0]) - score) < 1e-4
+
+
 def test_windows_cover_all_words():
     count = np.array([0, 1, 63, 64, 65, 96, 97, 500])
     text, first, length = toxicity.windows(count)
@@ -176,10 +242,8 @@ def test_toxicity_without_labels(spark):
 
 def test_sample_is_bounded_and_never_held_out(spark):
     rows = [(k, "t" * (k + 1), "s") for k in range(300)]
-    got, share = labels.sample(frame(spark, rows), marks(spark, [(k, 1, k % 2) for k in range(300)]), "toxic", rows=20, most=200)
-    assert len(got) == 40 and all(len(t) <= 200 for _, t, _ in got) and 0.4 < share < 0.6
-    import zlib
-
+    got, share = labels.sample(frame(spark, rows), marks(spark, [(k, 1, k % 2) for k in range(300)]), "toxic", rows=20, most=2000)
+    assert all(0 < sum(len(t) for _, t, m in got if m == k) <= 2000 and sum(m == k for *_, m in got) <= 20 for k in (0, 1)) and 0.4 < share < 0.6
     assert all(zlib.crc32(str(d).encode()) % 5 for d, _, _ in got)
 
 
@@ -197,7 +261,8 @@ def test_top_k_is_exact(spark):
     good = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = {}
     for q in [i for i in good if i % 100 == 0]:
-        s = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:10]
+        twice = [i for i, _ in rows if i == 0 and q != 0][1:]
+        s = sorted((-int(good[q] @ good[i]), i) for i in (*good, *twice) if i != q and len(good[i]) == len(good[q]))[:10]
         if s:
             want[q] = [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
     assert dict(got) == want
@@ -243,6 +308,42 @@ def test_extraction_contract(spark):
     assert html_main.extract_pages(df.limit(0)).count() == 0
 
 
+def test_malformed_pages_take_linear_time():
+    import time
+
+    n = 1 << 20
+    pages = ["<a " * (n // 3) + '"', "<div>" * (n // 10) + "</section>" * (n // 20), "<i><div>" + "<b>" * (n // 7) + "</i>" * (n // 8), "<div>" * (n // 10) + "<li></li>" * (n // 18)]
+    pages += ["<p " + '="' * (n // 2), "<p " + "='\"" * (n // 3), "<" * n, "<!--" * (n // 4), "<script>" * (n // 8), "<p class" + " " * n + ">", "<p><b>" * (n // 6)]
+    for page in pages:
+        start = time.process_time()
+        html_main.Page(page)
+        assert time.process_time() - start < 6, page[:20]
+
+
+def test_features_equal_plain_counts():
+    """Subtree size, depth, text and links of every element, counted by walking up from each."""
+    r = np.random.default_rng(12)
+    for _ in range(30):
+        page = html_main.Page(html_main.training_page(r)[0])
+        rows = page.features()
+        up = lambda k, page=page: [k] + (up(page.parent[k]) if k else [])
+        n = len(page.tag)
+        size, chars, own, links = ([0] * n for _ in range(4))
+        for k in range(n):
+            for a in up(k):
+                size[a] += 1
+                links[a] += page.tag[k] == "a"
+        for node, text, _ in page.pieces:
+            own[node] += len(text)
+            for a in up(node):
+                chars[a] += len(text)
+        at = 2 * len(html_main.TOKENS) + 9 + 13
+        want = np.column_stack([[len(up(k)) - 1 for k in range(n)], np.log1p(chars), np.log1p(own), np.log1p(size), np.array(links) / size, np.array(chars) / size])
+        assert np.allclose(rows[:, [at, at + 3, at + 4, at + 9, at + 13, at + 8]], want)
+        for j, words in enumerate(html_main.TOKENS):
+            assert rows[:, j].tolist() == [(page.kinds[k] >> j) & 1 for k in range(n)], words
+
+
 def test_decoding_never_contradicts():
     page = html_main.Page("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     r = np.random.default_rng(1)
@@ -362,6 +463,38 @@ def test_join_is_exact(spark, monkeypatch, width, num):
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted([str(c) for c in {c for _, c in want.values()}] + ["None"])
 
 
+def test_join_with_repeated_ids_and_rows(spark):
+    """A doc_id with two texts: each row goes by its own; of rows alike one stays."""
+    r = random.Random(77)
+    a, b = prose(60, r), prose(60, r)
+    near = b + " end"
+    rows = [(5, a, "s"), (5, b, "s"), (7, near, "s"), (1, "x y z", "s"), (1, "x y z", "s"), (2, "X Y Z", "s"), (9, None, "s"), (9, None, "s"), (None, "x y z", "s"), (None, a, "s")]
+    got = Counter((x.doc_id, x.component_id) for x in jaccard.linked_components(frame(spark, rows), 4, 85, 100).collect())
+    assert got == Counter([(5, 5), (5, 5), (7, 5), (1, 1), (1, 1), (2, 1), (9, 9), (9, 9), (None, None), (None, None)])
+    kept = Counter((x.doc_id, x.text) for x in jaccard.deduplicated(frame(spark, rows), 4, 85, 100).collect())
+    assert kept == Counter([(5, a), (5, b), (1, "x y z"), (9, None), (9, None), (None, "x y z"), (None, a)])
+    clash = frame(spark, rows).withColumnsRenamed({"kept": "_th"}).withColumns({"_id": F.lit(1), "_stays": F.lit("n"), "key": F.lit(2)})
+    out = jaccard.deduplicated(clash, 4, 85, 100)
+    assert out.columns == clash.columns and out.count() == 7
+
+
+def test_hot_keys_and_large_families(spark, monkeypatch):
+    """Keys that many sets share go another way to the same result; families are split by members and by shingles."""
+    monkeypatch.setattr(jaccard, "HOT_KEY", 8)
+    monkeypatch.setattr(jaccard, "HOT_PART", 1)
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", 5)
+    monkeypatch.setattr(jaccard, "FAMILY_SHINGLES", 300)
+    r = random.Random(6)
+    base, rows = prose(50, r).split(" "), []
+    for k in range(60):
+        own = list(base)
+        for _ in range(k % 4):
+            own[r.randrange(len(own))] = r.choice(WORDS)
+        rows.append((k, " ".join(own) if k % 5 else prose(30, r), "s"))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.linked_components(frame(spark, rows), 4, 85, 100).collect()}
+    assert got == brute(rows, 4, 85, 100)
+
+
 def test_every_linked_pair_shares_a_key():
     r = np.random.default_rng(6)
     for n in [*range(1, 40), 60, 141, 210, 211, 300]:
@@ -422,5 +555,31 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     left = [x for x in good if found[x[0]][1] == x[0]]
     plan = mixing.mix_plan(frame(spark, left)).toPandas()
     assert Counter(out[out.start == 0].doc_id) == Counter(plan.doc_id)
+    assert all(x.ids_crc32 == zlib.crc32(x.ids) and len(x.ids) == 4 * x.length for x in out.itertuples())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_duplicates", "mixing", "packing"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing names, and no rows at all."""
+    import corpus_pipeline
+    from vitrine.llm.storage import stored
+
+    r = random.Random(10)
+    good = prose(120, r)
+    rows = [(1, good, "en", "a", 5), (1, good, "en", "a", 5), (2, good, None, None, None), (None, None, None, None, None), (None, prose(80, r), "en", "b", 1), (3, "", "", "", 0), (4, prose(30000, r), "en", "a", 9), (5, " \n\t", "en", "b", 3)]
+    odd = spark.createDataFrame([(*x, 1, "q", 2.0, 3) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, _id int, ids string, _copy double, sequence_id int")
+    marks(spark, [(k, k % 2, int(k % 3 == 0)) for k in range(40)]).selectExpr("doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, odd.limit(0)):
+        now = stored(docs, "odd")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stored(stage(spark, now, str(tmp_path)), name)
+            assert out.columns == docs.columns and out.count() <= 2 * docs.count()
+            assert docs.count() == 0 or out.count() > 0
+            now = out
+        name, stage = corpus_pipeline.STAGES[-1]
+        packed = stage(spark, now, str(tmp_path))
+        assert packed.where("start = 0").count() == now.count()
+        # Each stage on the whole odd table.
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).count()
     assert F is not None

@@ -103,9 +103,10 @@ def test_records_round_trip(spark, library):
         (d if d is not None else -1e9, len(i := ids(library, t)), zlib.crc32(np.array(i, "<u4").tobytes())) for d, t in rows
     )
     got = [(r.doc_id, r.start, r.n_tokens) for r in sorted(records.write_and_read(table(spark, rows)).collect(), key=lambda r: r.start)]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     assert [d for d, _, _ in got] == [d for d, _ in order]
-    n = [len(ids(library, t)) for _, t in order]
+    n = [k for _, _, k in got]  # rows of one doc_id come in any order
+    assert sorted((str(d), k) for d, _, k in got) == sorted((str(d), len(ids(library, t))) for d, t in rows)
     assert [s for _, s, _ in got] == (np.cumsum(n) - n).tolist()
     part = manifest.where("n_docs > 0").first()
     index = np.fromfile(f"{folder.removeprefix('file://')}/{part['index']}", records.ENTRY)
@@ -139,6 +140,21 @@ def test_differencing_is_near_equal():
     assert sorted(np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), weights=[8, 7, 6, 5, 4])) == [14, 16]
 
 
+def test_a_million_short_pieces_take_little(spark):
+    import tracemalloc
+
+    sizes = np.ones(packing.GROUP_PIECES, np.int64)
+    tracemalloc.start()
+    window = packing.pack(sizes)
+    assert np.bincount(window).max() <= 4096 and window.max() + 1 == 16 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    pieces = spark.range(1 << 20).selectExpr("id as doc_id", "1L as length", "'n' as _piece", "'m' as _group", "7 as offset")
+    out = packing.assign(pieces)
+    assert sorted(out.columns) == ["_group", "_piece", "doc_id", "length", "offset", "sequence_id"]
+    full = out.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).toPandas()
+    assert full["sum(length)"].sum() == 1 << 20 and full["sum(length)"].max() <= 4096 and (full["max(offset)"] == full["sum(length)"] - 1).all()
+
+
 def test_pieces_cover_every_document(spark, library):
     r = random.Random(5)
     rows = [(k, " ".join(r.choice(["ab", "cde", "x1", "señor"]) for _ in range(r.choice([0, 3, 40, 900, 9000])))) for k in range(60)] + [(3, "again"), (None, None)]
@@ -186,6 +202,64 @@ def test_edits_touch_little(spark, library):
     assert out[2].n_tokens_before == 0
 
 
+@pytest.mark.parametrize("text", ["a," * 300_000, "12" * 300_000, "ab1" * 200_000, "word;" * 120_000])
+def test_edits_without_white_space_touch_little(text):
+    (_, tree), *_ = edit_counts.trees(*text_buffers(pa.array([text])), bpe.default_path())
+    for edit in ((300_000, 300_000, b" inserted "), (200_000, 200_024, b""), (100_000, 100_003, b"x"), (10**9, 10**9, b"ending")):
+        tree.edit(*edit)
+    assert tree.encoded < 6000 and tree.n_tokens == len(bpe.encoder(bpe.default_path()).tokenizer.encode(tree.text().decode(), add_special_tokens=False).ids)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab19,.'<|>\né ", max_size=120), st.lists(st.tuples(st.integers(0, 130), st.integers(0, 12), st.sampled_from(["", "<|endof", "text|>", "<|endoftext|>", "'", "s", "7", "<", "|>", "é"])), max_size=6))
+def test_tree_with_special_tokens(text, edits):
+    full = bpe.encoder(bpe.default_path()).tokenizer
+    text = text + "<|endoftext|>" * (len(text) % 3 == 0) + text
+    (_, tree), *_ = edit_counts.trees(*text_buffers(pa.array([text])), bpe.default_path())
+    for begin, n, put in edits:
+        begin = edit_counts._edge(tree, begin)
+        tree.edit(begin, edit_counts._edge(tree, begin + n), put.encode())
+        assert tree.n_tokens == len(full.encode(tree.text().decode(), add_special_tokens=False).ids)
+
+
+def test_another_tokenizer_file_encodes_whole_texts(tmp_path):
+    """A file that keeps case and white space: its ids are the library's, and edits are counted from whole texts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(bpe.encoder(bpe.default_path()).tokenizer.to_str())
+    spec["normalizer"], spec["pre_tokenizer"] = None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path = f"{tmp_path}/other.json"
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    other, own = Tokenizer.from_file(path), bpe.WordEncoder(path)
+    assert not own.by_words
+    texts = ["Aa bB  c", "", None, "x,1 2 3", "Aa bB  c"]
+    got = []
+    for _, flat, bounds in own.encode(*text_buffers(pa.array(texts))):
+        got += [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [other.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    (_, tree), *_ = edit_counts.trees(*text_buffers(pa.array(["Some Words, 12 of a  text"])), path)
+    tree.edit(5, 6, b" W")
+    assert tree.n_tokens == len(other.encode(tree.text().decode(), add_special_tokens=False).ids)
+
+
+def test_hot_and_clashing_rows(spark):
+    rows = [(1, "same")] * 400 + [(k, "t") for k in range(50)]
+    df = spark.createDataFrame([(d, t, "a", 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, _part string, _inner int, _place int, shard int, row_number int")
+    out = shards.shard_rows(df, ["doc_id"])
+    assert out.columns == ["doc_id", "text", "_part", "_inner", "_place", "row_number", "shard", "slot"]
+    got = out.collect()
+    assert sorted(r.row_number for r in got) == list(range(450)) and {r._part for r in got} == {"a"}
+    assert max(np.bincount([r.shard for r in got])) - min(np.bincount([r.shard for r in got])) <= 1
+    order = sorted(got, key=lambda r: r.row_number)
+    assert [r.doc_id for r in order] == sorted(d for d, _ in rows)
+    folder = new_dir(spark, "records")
+    manifest = records.write_records(df.repartition(4), folder).collect()
+    assert sum(m.n_docs for m in manifest) == 450 and max(m.n_docs for m in manifest) < 300  # one doc_id does not fill a shard
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 64, 1000, 4097])
 def test_permutation(n):
     place = shards.permute(np.arange(n), n)
