@@ -334,28 +334,76 @@ def test_providers(spark):
     assert prompt.startswith("Fornecedor: S\n\n") and prompt.endswith("x" * 4000) and "Arquivo" not in prompt
 
 
-def test_stream_replaces_partitions(spark, tmp_path):
+def test_stream_keeps_every_batch(spark, tmp_path):
     schema = "catalog_id long, page long"
+    sink, status = f"{tmp_path}/sink", f"{tmp_path}/status"
     write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    read = lambda: sorted((r.catalog_id, r.page) for r in spark.read.schema("page long, catalog_id long").parquet(f"{tmp_path}/sink").collect())
-    run = lambda f=lambda df: df: ingest.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "catalog_id", f"{tmp_path}/sink", f"{tmp_path}/offsets", f, f"{tmp_path}/status").awaitTermination()
+    read = lambda: sorted((r.catalog_id, r.page) for r in spark.read.schema("page long, catalog_id long, batch long").parquet(sink).collect())
+    states = lambda: {r.catalog_id: (r.state, r.error) for r in ingest.latest_state(spark, status, "catalog_id").collect()}
+
+    def run(f=lambda df: df):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = ingest.ingest(stream, "catalog_id", sink, f"{tmp_path}/offsets", f, status)
+        query.awaitTermination()
+        return query
+
     write([(1, 1), (1, 2), (2, 1)])
-    run()
-    assert read() == [(1, 1), (1, 2), (2, 1)]
     write([(1, 7)])
+    assert ingest.progress(run())["rows"] == 4
+    assert read() == [(1, 1), (1, 2), (1, 7), (2, 1)]  # one catalogue in two batches keeps both
     run()
-    assert read() == [(1, 7), (2, 1)]
-    run()
-    assert read() == [(1, 7), (2, 1)]
+    assert read() == [(1, 1), (1, 2), (1, 7), (2, 1)] and states() == {1: ("READY", None), 2: ("READY", None)}
     write([(2, 5)])
 
-    def fail(df):
-        raise RuntimeError("bad page")
+    def passing(df):
+        raise OSError("storage is down")
+
+    with pytest.raises(Exception, match="storage is down"):
+        run(passing)
+    assert states()[2] == ("PROCESSING", None)
+    run()  # the batch was not lost
+    assert read() == [(1, 1), (1, 2), (1, 7), (2, 1), (2, 5)] and states()[2] == ("READY", None)
+    write([(3, 1)])
+
+    def own(df):
+        raise ingest.CatalogError("bad page")
 
-    run(fail)
-    assert read() == [(1, 7), (2, 1)]
-    states = {r.catalog_id: (r.state, r.error) for r in ingest.latest_state(spark, f"{tmp_path}/status", "catalog_id").collect()}
-    assert states == {1: ("READY", None), 2: ("FAILED", "bad page")}
+    run(own)
+    assert len(read()) == 5 and states()[3] == ("FAILED", "bad page")
+    ingest.forget(spark, sink, "catalog_id", [1, 99])  # reprocessing
+    write([(1, 9)])
+    run()
+    assert [x for x in read() if x[0] == 1] == [(1, 9)]
+
+
+def test_ingest_always_tells_states(spark, tmp_path):
+    spark.createDataFrame([(4, 1)], "catalog_id long, page long").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("catalog_id long, page long").parquet(f"{tmp_path}/in")
+    ingest.ingest(stream, "catalog_id", f"{tmp_path}/sink", f"{tmp_path}/offsets", lambda df: df).awaitTermination()
+    assert [r.state for r in ingest.latest_state(spark, f"{tmp_path}/sink-status", "catalog_id").collect()] == ["READY"]
+
+
+def test_flagged_boxes_equal_all_pairs(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for k in range(300):
+        x, y, w, h = r.uniform(0, 300), r.uniform(0, 300), r.choice([0.5, 3, 40, 64, 65, 130, 500]), r.choice([20, 60, 90])
+        rows.append((k % 2, k, float(x), float(y), float(w), float(h), float(k % 7) / 7))
+        if k % 3 == 0:
+            rows.append((k % 2, 1000 + k, float(x + w * r.uniform(-0.2, 0.2)), float(y), float(w * r.uniform(0.7, 1.4)), float(h), float(k % 5) / 5))
+    rows += [(0, 5000, 10.0, 10.0, 0.0, 5.0, 1.0), (0, 5001, 10.0, 10.0, -3.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "page_id long, box_id long, x double, y double, width double, height double, confidence double").withColumn("b", geometry.box())
+    got = {x.box_id: x.duplicate for x in boxes.flagged_duplicates(df, "page_id", F.col("box_id") % 9 != 0, F.col("confidence"), ["box_id"], "box_id").collect()}
+
+    def iou(a, b):
+        ox, oy = (max(0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (2, 3))
+        both = ox * oy
+        union = a[4] * a[5] + b[4] * b[5] - both
+        return both / union if both > 0 and union > 0 else 0
+
+    order = sorted(rows, key=lambda b: (b[1] % 9 == 0, -b[6], b[1]))
+    want = {b[1]: any(a[0] == b[0] and iou(a, b) >= 0.65 for a in order[:n]) for n, b in enumerate(order)}
+    assert got == want and 20 < sum(want.values()) < len(want)
 
 
 def drawn(n, size=(842 * 2, 595 * 2)):

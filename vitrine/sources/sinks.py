@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,13 +37,22 @@ def conformed(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(*out)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a folder of this machine on a local master only; on
+    a cluster an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        path = "file://" + tempfile.mkdtemp(prefix="vitrine-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder that spark.checkpoint.dir names; a folder of our own only
-    where that is unset."""
+    """The rows, computed once and kept in the shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="vitrine-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,7 +75,7 @@ def with_vectors(table: DataFrame, vectors: DataFrame, key: str = "id") -> DataF
 def reembedded(table: DataFrame, text: str, make: Callable[[], Provider]) -> tuple[DataFrame, DataFrame]:
     """The table with all vectors made anew, where that worked, and one row of counts: ok, failed."""
     out = embedded(table.withColumnRenamed("embedding", "_old"), text, make, "_new")
-    counts = out.agg(F.count_if("_new_error is null").alias("ok"), F.count_if("_new_error is not null").alias("failed"))
+    counts = out.agg(F.count_if(F.col("_new_error").isNull()).alias("ok"), F.count_if(F.col("_new_error").isNotNull()).alias("failed"))
     return out.withColumn("embedding", F.coalesce("_new", "_old")).drop("_old", "_new", "_new_error"), counts
 
 
