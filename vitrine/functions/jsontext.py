@@ -203,14 +203,16 @@ def parse_boxes(text: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _balanced(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: balanced_object(t) if t is not None else None)
+    return text.map(balanced_object, na_action="ignore")
 
 
 def tolerant_variant(text: Column) -> Column:
-    """A VARIANT of the text, its fenced part or its first balanced object; null if none parses."""
+    """A VARIANT of the text, its fenced part or its first balanced object; null if none parses. Braces are searched, in
+    Python, only in rows that do not parse without."""
     fenced = F.regexp_extract(text, "(?s)```(?:json|JSON)?\\s*(.*?)```", 1)
     inner = F.when(text.rlike("(?s)```(?:json|JSON)?\\s*.*?```"), fenced).otherwise(text)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(inner), F.try_parse_json(_balanced(inner)))
+    plain = F.coalesce(F.try_parse_json(text), F.try_parse_json(inner))
+    return F.coalesce(plain, F.try_parse_json(_balanced(F.when(plain.isNull(), inner))))
 
 
 def string_list(value: Column) -> Column:

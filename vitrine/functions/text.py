@@ -43,7 +43,12 @@ def normalize(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(normalize(text), " "), lambda t: t != "")
+    return tokens_of(normalize(text))
+
+
+def tokens_of(normal: Column) -> Column:
+    """The tokens of a text that is normalised already."""
+    return F.filter(F.split(normal, " "), lambda t: t != "")
 
 
 def token_set(values: Column) -> Column:
@@ -112,6 +117,11 @@ def percent(x: Column) -> Column:
     return F.floor(x * 100 + 0.5)
 
 
+def shown_date(at: Column) -> Column:
+    """Day, month and year, as a Brazilian page shows them."""
+    return F.date_format(at, "dd/MM/yyyy")
+
+
 def numbered_path(folder: Column, kind: str, number: Column, width: int) -> Column:
     return F.concat(folder, F.lit(f"/{kind}-"), F.lpad(number.cast("string"), width, "0"), F.lit(".jpg"))
 

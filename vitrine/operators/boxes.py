@@ -13,31 +13,45 @@ from vitrine.operators.geometry import iou
 FLAG_IOU, DROP_IOU, CARD_IOU = 0.65, 0.55, 0.6
 
 
-def suppressed(boxes: DataFrame, key: str, order: list[Column], columns: list[str], threshold: float, strict: bool = False, flag: bool = False) -> DataFrame:
-    """Go through each page's boxes in order; one that overlaps a kept one by the threshold is a duplicate.
+def suppressed(boxes: DataFrame, key: str, order: list[Column], columns: list[str], threshold: float, strict: bool = False) -> DataFrame:
+    """Go through each page's boxes in order; one that overlaps a kept one by the threshold goes.
 
-    strict: only above the threshold. flag: duplicates stay, marked, and suppress later ones as well; else they go.
-    A page's boxes are one array that is folded in the JVM. boxes: key, b (box struct), columns.
+    strict: only above the threshold. A page's boxes are one array that is folded in the JVM. boxes: key, b (box struct),
+    columns.
     """
     rank = [o.alias(f"_o{k}") for k, o in enumerate(order)]
     row = F.struct(*rank, "b", *columns)
     listed = boxes.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    # An array of (row, duplicate) grows; those that count for later rows are all, or the ones that are no duplicate.
-    start = F.transform(F.filter("rows", lambda r: F.lit(False)), lambda r: F.struct(r.alias("r"), F.lit(False).alias("dup")))
-    beyond = lambda k, r: (iou(k["r"]["b"], r["b"]) > threshold) if strict else (iou(k["r"]["b"], r["b"]) >= threshold)
+    start = F.filter("rows", lambda r: F.lit(False))
+    beyond = lambda k, r: (iou(k["b"], r["b"]) > threshold) if strict else (iou(k["b"], r["b"]) >= threshold)
     seen = lambda kept, r: F.exists(kept, lambda k: beyond(k, r))
-    put = lambda kept, r, dup: F.concat(kept, F.array(F.struct(r.alias("r"), dup.alias("dup"))))
-    if flag:
-        fold = lambda kept, r: put(kept, r, seen(kept, r))
-    else:
-        fold = lambda kept, r: F.when(seen(kept, r), kept).otherwise(put(kept, r, F.lit(False)))
-    out = listed.select(key, F.explode(F.aggregate("rows", start, fold)).alias("k"))
-    return out.select(key, *[F.col(f"k.r.{c}").alias(c) for c in columns], F.col("k.r.b").alias("b"), F.col("k.dup").alias("duplicate"))
+    fold = lambda kept, r: F.when(seen(kept, r), kept).otherwise(F.concat(kept, F.array(r)))
+    out = listed.select(key, F.explode(F.aggregate("rows", start, fold)).alias("r"))
+    return out.select(key, *[F.col(f"r.{c}").alias(c) for c in columns], F.col("r.b").alias("b"))
 
 
 def flagged_duplicates(boxes: DataFrame, key: str, valid: Column, confidence: Column, columns: list[str], tie: str) -> DataFrame:
-    """Valid boxes first, then by confidence; duplicates are marked."""
-    return suppressed(boxes, key, [(~valid).cast("int"), -confidence, F.col(tie)], columns, FLAG_IOU, flag=True)
+    """Valid boxes first, then by confidence; what overlaps any earlier box, a duplicate or not, is marked.
+
+    So no order of steps is needed: a box looks for an earlier one. Boxes that overlap so far have widths within FLAG_IOU of
+    each other and centres no farther apart than what is left of the larger one; they meet by a class of widths (powers of
+    two) and a strip of the page of that class.
+    """
+    place, strip, size = (f"_{c}" for c in ("place", "strip", "size"))
+    own = boxes.withColumn(place, F.struct((~valid).cast("int").alias("a"), (-confidence).alias("b"), F.col(tie).alias("c")))
+    some = F.col("b.width") > 0
+    middle = F.col("b.x") + F.col("b.width") / 2
+    wide = lambda s: F.pow(F.lit(2.0), s + 1)
+    level = lambda w: F.floor(F.log2(w)).cast("int")
+    there = own.where(some).select(key, F.col("b").alias("_b"), F.col(place).alias("_earlier"), level(F.col("b.width")).alias(size), F.floor(middle / wide(level(F.col("b.width")))).alias(strip))
+    classes = F.sequence(level(F.col("b.width") * (FLAG_IOU * 0.999)), level(F.col("b.width") / (FLAG_IOU * 0.999)))
+    reach = (1.001 - FLAG_IOU) * F.greatest(F.col("b.width"), wide(F.col(size)))
+    asked = own.where(some).withColumn(size, F.explode(classes))
+    asked = asked.withColumn(strip, F.explode(F.sequence(F.floor((middle - reach) / wide(F.col(size))), F.floor((middle + reach) / wide(F.col(size))))))
+    met = asked.join(there, [key, size, strip]).where((F.col("_earlier") < F.col(place)) & (iou(F.col("_b"), F.col("b")) >= FLAG_IOU))
+    found = met.select(F.col(key).alias("_key"), F.col(place).alias("_found")).distinct()
+    out = own.join(found, (F.col(key) == F.col("_key")) & (F.col(place) == F.col("_found")), "left")
+    return out.select(key, *columns, "b", F.col("_found").isNotNull().alias("duplicate"))
 
 
 def refined_duplicates(boxes: DataFrame, key: str, vision: Column, boundary: Column, quality: Column, columns: list[str], tie: str) -> DataFrame:

@@ -40,10 +40,18 @@ def last_first(x: Column) -> list[Column]:
 
 
 def supplier_counts(suppliers: DataFrame, catalogs: DataFrame) -> DataFrame:
-    """Every supplier by name with its number of catalogues, and whether one is still being processed."""
+    """Every supplier with its number of catalogues, and whether one is still being processed; by name."""
     own = catalogs.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status") == "PROCESSING").alias("busy"))
     wide = suppliers.join(own, "supplier_id", "left")
-    return wide.select("supplier_id", "supplier_name", F.coalesce("n", F.lit(0)).alias("catalogs"), F.coalesce("busy", F.lit(False)).alias("processing"))
+    return wide.select("supplier_id", "supplier_name", F.coalesce("n", F.lit(0)).alias("catalogs"), F.coalesce("busy", F.lit(False)).alias("processing")).orderBy("supplier_name", "supplier_id")
+
+
+def supplier_pages(suppliers: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """Suppliers with their catalogues, newest first, and whether one is still being processed. catalogs: catalog_id,
+    supplier_id, file_name, status, created_at."""
+    order = [-F.unix_micros(F.col("created_at").cast("timestamp")), F.col("catalog_id")]
+    wide = children(suppliers, catalogs, "supplier_id", order, ["catalog_id", "file_name", "status", "created_at"], "catalogs")
+    return wide.withColumn("processing", F.exists("catalogs", lambda c: c["status"] == "PROCESSING"))
 
 
 def home_counts(suppliers: DataFrame, catalogs: DataFrame, pages: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -20,8 +20,18 @@ def nearest(rows: DataFrame, vector: Sequence[float], k: int, id_column: str, em
 
     One scan, a partial top-k in each task; rows without a vector, or with one of another length, take no part.
     """
-    scored = rows.where(F.col(embedding).isNotNull()).withColumn("similarity", cosine_with(F.col(embedding), vector)).where("similarity is not null")
-    return scored.orderBy(*first, F.desc("similarity"), id_column).limit(k)
+    return best(scored(rows, vector, embedding), k, id_column, first)
+
+
+def scored(rows: DataFrame, vector: Sequence[float], embedding: str = "embedding") -> DataFrame:
+    """Rows with a vector of the right length, and its similarity."""
+    return rows.where(F.col(embedding).isNotNull()).withColumn("similarity", cosine_with(F.col(embedding), vector)).where("similarity is not null")
+
+
+def best(rows: DataFrame, k: int, id_column: str, first: Sequence = ()) -> DataFrame:
+    """The k rows with the highest similarity. Where vectors lie in a table of their own, score them there and join the
+    similarities: vectors are not shuffled."""
+    return rows.orderBy(*first, F.desc("similarity"), id_column).limit(k)
 
 
 def page_results(mentions: DataFrame, profile: Profile, pages: int = PAGES, extras: int = EXTRAS) -> DataFrame:
@@ -39,6 +49,19 @@ def page_results(mentions: DataFrame, profile: Profile, pages: int = PAGES, extr
     return out.orderBy(F.desc("score"), F.desc("similarity"), "mention_id").limit(pages)
 
 
+def crop_rows(crops: DataFrame, catalogs: DataFrame, suppliers: DataFrame, vector: Sequence[float]) -> DataFrame:
+    """The older search with what a result shows: crops of a catalogue and supplier that exist, their file and name.
+
+    catalogs: catalog_id, supplier_id, file_name; suppliers: supplier_id, supplier_name. Crops without them take no part,
+    so they are left out before the top is taken; the names are joined to the few rows that stay.
+    """
+    named = catalogs.join(suppliers, "supplier_id").select("catalog_id", F.col("file_name").alias("catalog_file_name"), "supplier_name")
+    known = crops.join(named.select("catalog_id"), "catalog_id", "left_semi")
+    found = crop_results(known, vector).select("place", "crop_id", "similarity")
+    wide = found.join(crops.drop("embedding", "place", "similarity"), "crop_id").join(named, "catalog_id")
+    return wide.orderBy("place")
+
+
 def crop_results(crops: DataFrame, vector: Sequence[float]) -> DataFrame:
     """The older search: page crops first, then by similarity; 20 of the top 100 that are no near-copies in their catalogue.
 

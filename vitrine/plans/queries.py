@@ -9,9 +9,10 @@ from vitrine.functions import jsontext, labels, text, vector
 from vitrine.functions.signals import looks_multi, page_type, product_count, signals
 from vitrine.operators import boxes, cascade, catalog, geometry, intervals, layout, raster
 from vitrine.operators.rerank import Profile, reranked
-from vitrine.operators.search import CANDIDATES, crop_results, nearest, page_results
+from vitrine.operators.search import CANDIDATES, best, crop_results, nearest, page_results, scored
 from vitrine.plans.views import view
 from vitrine.sources.readers import layout_blocks, layout_documents, table
+from vitrine.sources.sinks import shared_folder
 
 PROFILE = Profile("red widget", "economy_widget", colors=("red",), synonyms=("gadget",), must_not_match=("small",))
 PAGE_WIDTH, PAGE_HEIGHT = 1000.0, 1400.0
@@ -40,6 +41,12 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _top_mentions(spark: SparkSession, sf_dir: str, mentions: DataFrame) -> DataFrame:
+    """The nearest mentions: vectors are scored where they lie, and their similarities joined."""
+    near = scored(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), query_vector(spark, sf_dir)).select("vec_id", "similarity")
+    return best(mentions.join(near, "vec_id"), CANDIDATES, "mention_id")
+
+
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = nearest(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 20, "vec_id")
     return top.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
@@ -47,8 +54,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_top200_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-k of the mentions first, then their dimensions: every key has its row, so the joins drop nothing."""
-    m = view(spark, sf_dir, "v_mention").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    top = nearest(m, query_vector(spark, sf_dir), CANDIDATES, "mention_id")
+    top = _top_mentions(spark, sf_dir, view(spark, sf_dir, "v_mention"))
     s = view(spark, sf_dir, "v_supplier")
     return top.join(s, "supplier_id").select("mention_id", "page_id", "supplier_name", F.round("similarity", 6).alias("similarity"))
 
@@ -72,9 +78,7 @@ def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: exact top-k, dimensions, decision table, grouping by page."""
-    m = _mentions(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    top = nearest(m, query_vector(spark, sf_dir), CANDIDATES, "mention_id").drop("embedding")
-    found = page_results(top, PROFILE)
+    found = page_results(_top_mentions(spark, sf_dir, _mentions(spark, sf_dir)), PROFILE)
     names = view(spark, sf_dir, "v_supplier")
     wide = found.withColumn("supplier_id", F.col("catalog_id") % 10).join(names, "supplier_id")
     return wide.select("page_id", "mention_id", "catalog_id", "page_number", "supplier_name", "match_type", "confidence", F.round("score", 6).alias("score"), F.size("other_matches").alias("n_others"), F.array_join(F.transform("other_matches", lambda o: o["mention_id"].cast("string")), ",").alias("others"))
@@ -87,8 +91,8 @@ def legacy_dedupe_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("norm", text.normalize(F.col("text")))
-    return d.select("doc_id", F.md5("norm").alias("norm_md5"), F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.size(text.token_set(F.array("text"))).alias("n_distinct"))
+    d = table(spark, sf_dir, "documents").withColumn("norm", text.normalize(F.col("text"))).withColumn("tokens", text.tokens_of(F.col("norm")))
+    return d.select("doc_id", F.md5("norm").alias("norm_md5"), F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
 
 
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,15 +393,16 @@ def _draw(batches):
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations by a file stream into partitions, and what the sink holds afterwards."""
+    """Conversations by a file stream of two files, a micro-batch each, into partitions, and what the sink holds afterwards."""
     import uuid
 
     from vitrine.streaming.ingest import ingest
 
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp').rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source = table(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/conversations.parquet")
-    count = lambda df: df.groupBy((F.col("conv_id") % 16).alias("part"), "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-    query = ingest(stream.withColumn("part", F.col("conv_id") % 16), "part", f"{base}/sink", f"{base}/offsets", count)
-    query.awaitTermination()
-    return spark.read.schema("role string, n long, chars long, part long").parquet(f"{base}/sink")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = table(spark, sf_dir, "conversations").withColumn("part", F.col("conv_id") % 16)
+    source.repartition(2).write.parquet(f"{base}/in")  # every part is in both files
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    count = lambda df: df.groupBy("part", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    ingest(stream, "part", f"{base}/sink", f"{base}/offsets", count).awaitTermination()
+    rows = spark.read.schema("role string, n long, chars long, part long, batch long").parquet(f"{base}/sink")
+    return rows.groupBy("part", "role").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
