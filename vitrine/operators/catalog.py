@@ -104,8 +104,8 @@ def new_catalogs(suppliers: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def valid_images(requests: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """Search requests with an image of at most `most` bytes. requests: media_type, n_bytes."""
-    return requests.where(F.col("media_type").startswith("image/") & (F.col("n_bytes") > 0) & (F.col("n_bytes") <= most))
+    """Search requests with an image of at most `most` bytes. requests: media_type, n_bytes; null: no image."""
+    return requests.where(F.col("media_type").startswith("image/") & (F.col("n_bytes") <= most))
 
 
 def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:

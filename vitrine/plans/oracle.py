@@ -107,7 +107,7 @@ _CANDIDATE_ROWS = """own as (
 
 _LAYOUT = """items as (
   select mention_id // 12 as page_id, mention_id % 12 as k, k % 3 + 1 as c, k // 3 + 1 as r, 40 + k % 3 * 180 + mention_id % 7 as x, 60 + k // 3 * 190 + mention_id % 5 as y, layout_text
-  from v_mention where mention_id < 600
+  from v_mention
 )"""
 _LINES = """cols as (
   select page_id, c, coalesce((m + lag(m) over w) / 2, lo) as x1, coalesce((m + lead(m) over w) / 2, hi) as x2
@@ -161,7 +161,7 @@ join v_supplier s on s.supplier_id = r.catalog_id % 10 where top <= 30""".replac
     "knn_top200_join": _with("select mention_id, page_id, supplier_name, round(similarity, 6) as similarity from candidates join v_supplier using (supplier_id)", f"candidates as ({_KNN})"),
     "vector_normalize": """select vec_id, round(v[1] / n, 6) as first, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) as norm, 16 as head,
   len(list_filter(v, lambda x: x <> 0)) > 0 as nonzero from (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from (select vec_id, list_transform(embedding, lambda x: x::double * 3) as v from embeddings))""",
-    "vector_literal": "select vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: floor(x * 1000)::int), ',') || ']' as literal from embeddings",
+    "vector_literal": "select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: floor(x * 1000)::int), ',') || ']' as literal from embeddings",
     "rerank_scores": _with("select mention_id, match_type, confidence, round(score, 6) as score, reason from decided", "candidates as (select *, synthetic_similarity as similarity from v_mention)", _FACTS),
     "normalize_tokens": f"""select doc_id, md5(n) as norm_md5, len(list_filter(string_split(n, ' '), lambda t: t <> ''))::int as n_tokens,
   len(list_distinct(list_filter(string_split(n, ' '), lambda t: t <> '')))::int as n_distinct from (select doc_id, {_NORM.format("text")} as n from documents)""",
@@ -182,7 +182,7 @@ join v_supplier s on s.supplier_id = r.catalog_id % 10 where top <= 30""".replac
 from (select *, greatest({_COUNT.format("t", _PRICE)}, {_COUNT.format("t", _PIECES)}, {_COUNT.format("t", _UNITS)}, len({_CODES.format("t")}))::int as products, {_LABELS.format("t")} as n_labels from (
   select page_id, string_agg(said, chr(10) order by said collate binary) as t, count(*) as images, max(size) / 100.0 as fraction from (
     select *, case when page_id % 5 = 0 then name_pt when page_id % 5 = 1 and mention_id % 2 = 0 then 'CATÁLOGO ' || thing else layout_text end as said
-    from v_mention where mention_id % 3 <> 1 or page_id % 4 <> 0) group by page_id))""".replace(" collate binary", "")
+    from v_mention) group by page_id))""".replace(" collate binary", "")
     ),
     "cluster_1d": _with("""select page_id, cluster::bigint as cluster, round(center, 6) as center, n,
   round(coalesce((center + lag(center) over w) / 2, 0.0), 6) as lo, round(coalesce((center + lead(center) over w) / 2, 1200.0), 6) as hi from (
@@ -205,10 +205,10 @@ where cx between cell % 3 * 350.0 and cell % 3 * 350.0 + 350 and cy between cell
     and (({_gap("y", "height", "t", "a")} <= 0.05 * 1400.0 and {_overlap("x", "width", "t", "a")} >= 0.4 * least(t.width, a.width))
       or ({_gap("x", "width", "t", "a")} <= 0.04 * 1000.0 and {_overlap("y", "height", "t", "a")} >= 0.4 * least(t.height, a.height)))) where place = 1"""),
     "touching_pairs": _with(f"""select a.page_id, a.box_id as a, b.box_id as b from v_box a join v_box b on a.page_id = b.page_id and a.box_id < b.box_id
-where (a.box_id // 200) % 4 = 0 and (b.box_id // 200) % 4 = 0 and (({_gap("x", "width", "a", "b")} <= 0.015 * 1000.0 and {_gap("y", "height", "a", "b")} <= 0.015 * 1400.0) or {_iou("a", "b")} > 0.2)"""),
+where (({_gap("x", "width", "a", "b")} <= 0.015 * 1000.0 and {_gap("y", "height", "a", "b")} <= 0.015 * 1400.0) or {_iou("a", "b")} > 0.2)"""),
     "connected_images": _with(
         "select n.page_id, n.box_id, coalesce(min(reach), n.box_id) as component from nodes n left join r on r.node = n.box_id group by n.page_id, n.box_id",
-        "nodes as (select * from v_box where (box_id // 200) % 12 = 0)",
+        "nodes as (select * from v_box)",
         f"""links as (select a.box_id as a, b.box_id as b from nodes a join nodes b on a.page_id = b.page_id and a.box_id <> b.box_id
   where ({_gap("x", "width", "a", "b")} <= 0.015 * 1000.0 and {_gap("y", "height", "a", "b")} <= 0.015 * 1400.0) or {_iou("a", "b")} > 0.2)""",
         "r as (select box_id as node, box_id as reach from nodes union select r.node, l.b from r join links l on l.a = r.reach)",
@@ -239,7 +239,7 @@ left join (select catalog_id, count(*) as nc, string_agg(candidate_id::varchar,
     "decision_histogram": _with("""select catalog_id, 0::bigint as page_skip, count(*) filter (decision = 'GRID_LAYOUT') as grid_layout, 0::bigint as pdf_layout, count(*) filter (decision = 'HEURISTIC') as heuristic,
   count(*) filter (decision = 'VISION_CHEAP') as vision_cheap, 0::bigint as vision_premium, 0::bigint as vision_off, 0::bigint as budget_exceeded, 0::bigint as fallback,
   count(*) filter (decision = 'VISION_CHEAP') as vision_calls, coalesce(string_agg(distinct model, ',' order by model) filter (decision = 'VISION_CHEAP'), 'none') as models from v_page group by catalog_id"""),
-    "mentions_by_page": _with("""select page_id, count(*) as n_mentions, coalesce(string_agg(name_pt, '|' order by place) filter (place <= 3), '') as shown from (
+    "mentions_by_page": _with("""select page_id, count(*) as n_mentions, coalesce(string_agg(name_pt, '|' order by place) filter (place <= 8), '') as shown from (
   select *, row_number() over (partition by page_id order by case when mention_id % 6 <> 0 then synthetic_similarity end desc nulls first, mention_id) as place from v_mention) group by page_id"""),
     "upsert_outcomes": _with("""select 'supplier' as kind, name, case when name = '' then 400 when name in (select supplier_name from v_supplier) then 409 else 201 end as outcome from (
   select distinct case when catalog_id % 10 = 0 then '' when catalog_id % 3 = 0 then 'Supplier#' || lpad((catalog_id % 300)::varchar, 9, '0') else file_name end as name from v_catalog)
@@ -265,14 +265,14 @@ select 'pages', count(*) from alive union all select 'detached', count(*) from c
     select page_id, coalesce(n, 0) as n, avg, giant, coalesce(severe, 0) as severe, case when coalesce(total, 0) = 0 then 0 when total <= 2 then 1 when total <= 4 then 3 when total <= 6 then 5 else 7 end::int as least_n
     from v_page left join (select page_id, count(*) as total, count(*) filter (is_searchable) as n, avg(quality_score) filter (is_searchable) as avg, count(*) filter (flag = 'R') as severe,
       min_by(g, candidate_id) filter (g is not null) as giant from (select *, case when is_searchable and width / height > 3.0 then 'horizontal_giant' when is_searchable and width / height < 0.33 and width / height > 0 then 'vertical_giant' end as g from own) group by page_id) using (page_id)))""", """own as (select candidate_id, page_id, max(width) as width, max(height) as height, max(coalesce(quality_score, 0.9) + 0.013) as quality_score, bool_or(is_searchable) as is_searchable, max(flag) as flag from v_candidate group by all)"""),
-    "cascade_decisions": _with("""select page_id, catalog_id, case when b is not null then b when n > 3 then 'BUDGET_EXCEEDED' when page_id % 6 <> 0 then 'VISION_CHEAP' else 'FALLBACK' end as decision,
-  case when b is null and n <= 3 then 1 else 0 end as vision_calls from (select *, sum((b is null)::int) over (partition by catalog_id order by page_id rows unbounded preceding) as n from (
+    "cascade_decisions": _with("""select page_id, catalog_id, case when b is not null then b when n > 20 then 'BUDGET_EXCEEDED' when page_id % 6 <> 0 then 'VISION_CHEAP' else 'FALLBACK' end as decision,
+  case when b is null and n <= 20 then 1 else 0 end as vision_calls from (select *, sum((b is null)::int) over (partition by catalog_id order by page_id rows unbounded preceding) as n from (
   select page_id, catalog_id, case when page_id % 10 = 0 then 'PAGE_SKIP' when page_id % 4 = 1 then 'GRID_LAYOUT' when page_id % 4 = 2 then 'PDF_LAYOUT' when page_id % 7 = 0 then 'HEURISTIC' end as b from v_page))"""),
     "cascade_premium": _with(
         """select page_id, catalog_id, case when b is not null then b when calls = 0 then 'BUDGET_EXCEEDED' when calls = 2 then 'VISION_PREMIUM' when page_id % 6 <> 0 then 'VISION_CHEAP' else 'FALLBACK' end as decision, calls as vision_calls from folded where place > 0""",
         """ranked as (select page_id, catalog_id, case when page_id % 10 = 0 then 'PAGE_SKIP' when page_id % 4 = 1 then 'GRID_LAYOUT' when page_id % 4 = 2 then 'PDF_LAYOUT' when page_id % 7 = 0 then 'HEURISTIC' end as b,
   (page_id % 6 <> 0 and page_id % 3 = 0) as second, row_number() over (partition by catalog_id order by page_id) as place from v_page)""",
-        """folded as (select catalog_id, 0::bigint as place, 0::bigint as page_id, null::varchar as b, 0 as calls, 3 as rest from (select distinct catalog_id from v_page) union all
+        """folded as (select catalog_id, 0::bigint as place, 0::bigint as page_id, null::varchar as b, 0 as calls, 20 as rest from (select distinct catalog_id from v_page) union all
   select r.catalog_id, r.place, r.page_id, r.b, (r.b is null and f.rest > 0)::int + (r.b is null and f.rest > 1 and r.second)::int,
     f.rest - (r.b is null and f.rest > 0)::int - (r.b is null and f.rest > 1 and r.second)::int from folded f join ranked r on r.catalog_id = f.catalog_id and r.place = f.place + 1)""",
         recursive=True,

@@ -373,25 +373,6 @@ def raster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("page_id", "total", "white", "green", "orange", F.round("text", 6).alias("text"))
 
 
-def heuristic_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heuristic detector on drawn pages: dark cells on white, placed by the page's number."""
-    pages = view(spark, sf_dir, "v_box").select("page_id").distinct()
-    return raster.heuristic(pages.mapInPandas(_draw, "page_id bigint, width int, height int, channels int, data binary"), "page_id")
-
-
-def _draw(batches):
-    import numpy as np
-    import pandas as pd
-
-    for batch in batches:
-        for k in batch["page_id"]:  # a frame each: a page takes 2.4 MB
-            image = np.full((1000, 800, 3), 255, np.uint8)
-            for r in range(1 + k % 3):
-                for c in range(1 + k % 2):
-                    image[40 + r * 310 : 320 + r * 310, 40 + c * 370 : 360 + c * 370] = (60 + k % 40, 90, 120 + r * 20)
-            yield pd.DataFrame([(k, 800, 1000, 3, image.tobytes())], columns=["page_id", "width", "height", "channels", "data"])
-
-
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations by a file stream of two files, a micro-batch each, into partitions, and what the sink holds afterwards."""
     import uuid

@@ -58,11 +58,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def append(rows: DataFrame, name: str, path: str, partition: str | None = "catalog_id") -> None:
-    """Append checked rows to a table's folder, by catalogue where it has one."""
-    writer = conformed(rows, name).write.mode("append")
+    """Append checked rows to a table's folder, by catalogue where it has one: a catalogue's rows come together first, a
+    large one's in several parts, so that there is not a file for each task and catalogue."""
+    checked = conformed(rows, name)
     if partition and partition in schema.TABLES[name]:
-        writer = writer.partitionBy(partition)
-    writer.parquet(path)
+        checked.hint("rebalance", F.col(partition)).write.mode("append").partitionBy(partition).parquet(path)
+    else:
+        checked.write.mode("append").parquet(path)
 
 
 def with_vectors(table: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
