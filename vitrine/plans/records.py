@@ -22,7 +22,7 @@ def _appended(rows: DataFrame, name: str) -> DataFrame:
     """What a table holds after the rows were appended to it."""
     spark = rows.sparkSession
     path = f"{sinks.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    sinks.append(rows, name, path)
+    sinks.append(rows, name, path, None)  # a folder for each of thousands of small catalogues would be mostly folders
     return spark.read.schema(schema.TABLES[name]).parquet(path)
 
 
