@@ -294,6 +294,14 @@ def test_counts_keep_zeros(spark):
     assert (row.heuristic, row.vision_cheap, row.fallback, row.vision_calls, row.models) == (1, 1, 0, 1, "m")
 
 
+def test_reads_in_order(spark):
+    s = spark.createDataFrame([(2, "b"), (1, "a"), (3, "a")], "supplier_id long, supplier_name string")
+    c = spark.createDataFrame([(1, 1, "f", "READY", "2024-01-02"), (2, 1, "g", "PROCESSING", "2024-03-01"), (3, 1, "h", "FAILED", None)], "catalog_id long, supplier_id long, file_name string, status string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    assert [r.supplier_id for r in catalog.supplier_counts(s, c).collect()] == [1, 3, 2]
+    pages = {r.supplier_id: r for r in catalog.supplier_pages(s, c).collect()}
+    assert [x.catalog_id for x in pages[1].catalogs if x.created_at] == [2, 1] and pages[1].processing and pages[2].catalogs == [] and not pages[2].processing
+
+
 def test_mention_rows(spark):
     df = spark.createDataFrame([(1, [("a",), ("b",)], ["ta", "tb"], [[0.0, 0.0], [1.0, 0.0]])], "page_id long, products array<struct<name_pt string>>, search_texts array<string>, embeddings array<array<double>>")
     assert [(r.pos, r.name_pt, r.search_text, r.embedding) for r in catalog.mention_rows(df).collect()] == [(0, "a", "ta", None), (1, "b", "tb", [1.0, 0.0])]
@@ -316,6 +324,48 @@ def test_missing_renderer_is_an_error_value(spark):
     assert row.error and row.page_number is None
 
 
+def test_external_programs(spark, tmp_path):
+    """A program of ours stands in for the extractor: it leaves files, or fails."""
+    tool = tmp_path / "tool.sh"
+    tool.write_text('#!/bin/sh\nfor last; do :; done\ngrep -q good "$2" || exit 3\nfor n in 10 2; do printf "$n" > "$last-00$n.png"; done\n')
+    tool.chmod(0o755)
+    df = spark.createDataFrame([("a", bytearray(b"good")), ("b", bytearray(b"bad"))], "path string, content binary")
+    out = sorted((r.path, r.number, bytes(r.content or b""), r.error is not None) for r in readers.extracted_images(df, str(tool)).collect())
+    assert out == [("a", 2, b"2", False), ("a", 10, b"10", False), ("b", None, b"", True)]
+    assert readers.extracted_images(df, "no-such-program").where("error is not null").count() == 2
+
+
+def test_layout_extraction(spark):
+    def open_pdf(content):
+        from types import SimpleNamespace as N
+
+        if content != b"good":
+            raise ValueError("no PDF")
+        blocks = [
+            {"type": 0, "bbox": (1.004, 2.006, 31.0, 12.0), "lines": [{"spans": [{"text": "EL-"}, {"text": "1920"}]}, {"spans": [{"text": "x" * 200}]}]},
+            {"type": 1, "bbox": (0, 0, 0.5, 9)},
+            {"type": 1, "bbox": (5, 5, 15, 25)},
+            {"type": 0},
+            {"type": 7, "bbox": (1, 1, 9, 9)},
+        ]
+
+        def broken():
+            raise RuntimeError("no drawings")
+
+        one = N(rect=N(width=595.276, height=841.89), get_text=lambda kind: {"blocks": blocks}, get_drawings=lambda: [{"rect": N(x0=0, y0=0, x1=2, y1=3)}, {"rect": None}])
+        return [one, N(rect=N(width=10, height=20), get_text=lambda kind: {}, get_drawings=broken)]
+
+    df = spark.createDataFrame([("a", bytearray(b"good")), ("b", bytearray(b"bad"))], "path string, content binary")
+    out = {r.path: r for r in readers.extracted_layouts(df, open_pdf).collect()}
+    assert out["b"].pages is None and out["b"].error == "no PDF" and out["a"].error is None
+    first, second = out["a"].pages
+    assert (first.pageNumber, first.width, first.height, second.pageNumber, second.blocks) == (1, 595.28, 841.89, 2, [])
+    assert [(b.type, b.x, b.y, b.width, b.height) for b in first.blocks] == [("text", 1.0, 2.01, 30.0, 9.99), ("image", 5.0, 5.0, 10.0, 20.0), ("drawing", 0.0, 0.0, 2.0, 3.0)]
+    assert first.blocks[0].text == ("EL-1920 " + "x" * 200)[:160]
+    assert readers.layout_blocks(readers.extracted_layouts(df, open_pdf), "path").count() == 3
+    assert readers.extracted_layouts(df).where("error is not null").count() == 2
+
+
 def test_providers(spark):
     class Broken:
         def embed(self, texts):

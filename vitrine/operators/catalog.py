@@ -34,6 +34,13 @@ def catalog_detail(catalogs: DataFrame, suppliers: DataFrame, pages: DataFrame,
     return children(with_pages, candidates, "catalog_id", order, ["candidate_id", "quality_score", "is_searchable"], "candidates")
 
 
+def catalog_screen(catalogs: DataFrame, suppliers: DataFrame, pages: DataFrame, candidates: DataFrame, mentions: DataFrame) -> DataFrame:
+    """What catalog_detail gives, and the catalogue's mentions by page number, the surest of a page first."""
+    wide = catalog_detail(catalogs, suppliers, pages, candidates)
+    order = [F.col("page_number"), *last_first(F.col("confidence")), F.col("mention_id")]
+    return children(wide, mentions, "catalog_id", order, ["mention_id", "page_number", "name_pt", "confidence"], "mentions")
+
+
 def last_first(x: Column) -> list[Column]:
     """Sort keys, ascending, that bring nulls first and then the largest."""
     return [F.when(x.isNull(), 0).otherwise(1), -x]

@@ -14,7 +14,7 @@ from vitrine.operators.search import CANDIDATES, best, crop_rows, scored
 from vitrine.plans.queries import _mentions, query_vector
 from vitrine.plans.views import view
 from vitrine.sources import sinks
-from vitrine.sources.providers import HashProvider
+from vitrine.sources.providers import HashProvider, page_prompt, scaled_boxes
 from vitrine.sources.readers import table
 
 
@@ -181,6 +181,41 @@ def aligned_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.array_join(F.transform("v", lambda x: x[0].cast("long").cast("string")), ",").alias("firsts"))
 
 
+def catalog_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue's screen: pages, candidates and mentions, each in its order."""
+    m = view(spark, sf_dir, "v_mention")
+    mentions = m.select("catalog_id", "mention_id", "page_number", "name_pt", F.when(F.col("mention_id") % 6 != 0, F.col("synthetic_similarity")).alias("confidence"))
+    c = view(spark, sf_dir, "v_candidate").groupBy("candidate_id", "page_id").agg(F.max("quality_score").alias("quality_score"), F.max("is_searchable").alias("is_searchable"))
+    own = c.join(view(spark, sf_dir, "v_page").select("page_id", "catalog_id"), "page_id")
+    d = catalog.catalog_screen(view(spark, sf_dir, "v_catalog"), view(spark, sf_dir, "v_supplier"), view(spark, sf_dir, "v_page"), own, mentions)
+    ids = F.array_join(F.transform("mentions", lambda r: r["mention_id"].cast("string")), ",")
+    return d.select("catalog_id", "supplier_name", F.col("n_pages").cast("long").alias("n_pages"), F.col("n_candidates").cast("long").alias("n_candidates"), F.col("n_mentions").cast("long").alias("n_mentions"), F.md5(ids).alias("mentions_md5"))
+
+
+def mention_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of a page with their texts and vectors by position; a vector of zeros, or none, is null."""
+    p = view(spark, sf_dir, "v_page").where("error is null")
+    places = F.sequence(F.lit(1), F.col("mentions").cast("int"))
+    some = F.when(F.col("mentions") > 0, places).otherwise(F.array().cast("array<int>"))
+    rows = p.select("page_id", F.transform(some, lambda i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("name_pt"))).alias("products"), F.transform(some, lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("search_texts"), F.transform(F.filter(some, lambda i: i <= 4), lambda i: F.array(F.lit(0.0), (i % 3).cast("double"))).alias("embeddings"))
+    out = catalog.mention_rows(rows)
+    return out.select("page_id", F.col("pos").cast("int").alias("pos"), "name_pt", "search_text", F.get("embedding", F.lit(1)).alias("second"))
+
+
+def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small texts of screens, logs and prompts."""
+    m = view(spark, sf_dir, "v_mention")
+    k = F.col("mention_id")
+    said = F.when(k % 4 == 0, F.lit(" \n ")).when(k % 4 == 1, F.lit(None)).otherwise(F.col("name_pt"))
+    detector = F.when(k % 3 == 0, "GRID_LAYOUT").when(k % 3 == 1, "HEURISTIC").otherwise("OTHER")
+    prompt = page_prompt(F.when(k % 2 == 0, F.col("category")), F.when(k % 3 == 0, F.lit("f.pdf")), F.col("page_number"), F.when(k % 5 != 0, F.repeat("layout_text", 150)))
+    boxes = scaled_boxes(F.array(F.struct((k % 7).cast("double").alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("width"), F.lit(4.0).alias("height"), F.lit(0.5).alias("confidence"))), 2.0, 0.5)
+    return m.select(
+        "mention_id", text.text_or_space(said).alias("sent"), text.usage_line(F.when(k % 3 != 0, k % 100), F.when(k % 4 != 0, k % 10)).alias("usage"), text.box_label(k % 9 / 2, F.lit(1.0), F.lit(2.4), F.lit(2.5)).alias("box"),
+        labels.label(labels.DETECTOR, detector).alias("detector"), F.md5(prompt).alias("prompt_md5"), boxes[0]["x"].alias("x"), boxes[0]["height"].alias("height"),
+    )
+
+
 def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search requests whose image can be taken."""
     k = F.col("event_id")
@@ -192,6 +227,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         insert_pages, insert_analyses, insert_mentions, insert_candidates, vector_writeback, reembed_counts, upload_blobs, crop_search, page_search_rows,
-        supplier_pages, suppliers_by_name, catalog_cards, boxes_json, aligned_vectors, valid_requests,
+        supplier_pages, suppliers_by_name, catalog_cards, boxes_json, aligned_vectors, valid_requests, catalog_screen, mention_positions, shown_texts,
     )
 }

@@ -62,6 +62,18 @@ from v_supplier s left join v_catalog c using (supplier_id) group by supplier_id
     "catalog_cards": _with("select catalog_id, strftime(created_at, '%d/%m/%Y') as day, case catalog_id % 3 when 0 then (catalog_id % 7)::varchar when 1 then (catalog_id % 5)::varchar else '—' end as shown from dated", _DATED),
     "boxes_json": """select event_id, event_id % 6 in (2, 4, 5) as failed, case event_id % 6 when 0 then 7 when 1 then 2 when 3 then 1 end::int as page_number, case event_id % 6 when 0 then 2 when 1 then 1 else 0 end as n,
   case event_id % 6 when 0 then 5.0 when 1 then 6.0 end::double as width, case when event_id % 6 <= 1 then round(least(1.0, greatest(0.0, value)), 6) end as confidence from events""",
+    "catalog_screen": _with("""select c.catalog_id, supplier_name, coalesce(np, 0) as n_pages, coalesce(nc, 0) as n_candidates, coalesce(nm, 0) as n_mentions, md5(coalesce(ms, '')) as mentions_md5
+from v_catalog c join v_supplier using (supplier_id) left join (select catalog_id, count(*) as np from v_page group by 1) using (catalog_id)
+left join (select catalog_id, count(*) as nc from (select distinct candidate_id, page_id from v_candidate) join v_page using (page_id) group by 1) using (catalog_id)
+left join (select catalog_id, count(*) as nm, string_agg(mention_id::varchar, ',' order by page_number, case when mention_id % 6 <> 0 then synthetic_similarity end desc nulls first, mention_id) as ms from v_mention group by 1) using (catalog_id)"""),
+    "mention_positions": _with("""select page_id, (i - 1)::int as pos, 'p' || i as name_pt, 't' || i as search_text, case when i <= 4 and i % 3 <> 0 then (i % 3)::double end as second
+from (select page_id, unnest(range(1, mentions + 1)) as i from v_page where error is null)"""),
+    "shown_texts": _with("""select mention_id, case when mention_id % 4 <= 1 then ' ' else name_pt end as sent,
+  'in=' || case when a is null then '?' else a::varchar end || ' out=' || case when b is null then '?' else b::varchar end || ' total=' || coalesce((a + b)::varchar, '?') as usage,
+  '[' || floor(mention_id % 9 / 2 + 0.5)::bigint || ',1 2×3]' as box, case mention_id % 3 when 0 then 'grid layout' when 1 then 'heurístico' else 'OTHER' end as detector,
+  md5(concat_ws(chr(10) || chr(10), nullif(concat_ws(chr(10), case when mention_id % 2 = 0 then 'Fornecedor: ' || category end, case when mention_id % 3 = 0 then 'Arquivo: f.pdf' end), ''), 'Página ' || page_number || '. Responda somente com JSON.',
+    case when mention_id % 5 <> 0 then 'Texto da página:' || chr(10) || substr(repeat(layout_text, 150), 1, 4000) end)) as prompt_md5, (mention_id % 7 * 2)::double as x, 2.0::double as height
+from (select *, case when mention_id % 3 <> 0 then mention_id % 100 end as a, case when mention_id % 4 <> 0 then mention_id % 10 end as b from v_mention)"""),
     "aligned_vectors": "select vec_id, (vec_id * 10) || ',' || (vec_id * 10 + 1) || ',' || (vec_id * 10 + 2) as firsts from embeddings",
     "valid_requests": "select event_id, case when event_id % 4 = 0 then 'image/png' else 'image/jpeg' end as media_type, (event_id % 11 * 1048576)::bigint as n_bytes from events where event_id % 4 in (0, 2) and event_id % 5 <> 0 and event_id % 11 <= 8",
 }

@@ -145,6 +145,18 @@ def refined_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_box").select("page_id").distinct().mapInPandas(work, "page_id bigint, way int, x double, y double, width double, height double, changed boolean, reason string")
 
 
+def product_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether pieces of a page can be a product's image: a cell, as large as the page's number gives, white, and low ones."""
+
+    def measure(image: np.ndarray) -> list[dict]:
+        shade = int(image[50, 50, 0]) - 60  # 0 .. 39
+        n = 130 + shade
+        pieces = {"cell": image[40 : 40 + n, 40 : 40 + n], "white": image[960:1000, :], "corner": image[:200, :n], "low": image[40:180, 40:360]}
+        return [{"piece": k, "side": min(v.shape[:2]), "valid": bool(raster.valid_product_image(v))} for k, v in pieces.items()]
+
+    return raster.measured(_rasters(spark, sf_dir, page_image), "page_id", measure, "piece string, side long, valid boolean")
+
+
 def heuristic_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heuristic detector on drawn pages."""
     found = raster.heuristic(_rasters(spark, sf_dir, page_image), "page_id")
@@ -162,4 +174,4 @@ def vision_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "candidate_id", "x", "y", "width", "height", "confidence", F.round("quality_score", 6).alias("quality_score"), "is_searchable", "reject_reason", "source_detector")
 
 
-QUERIES = {f.__name__: f for f in (content_boxes, crop_quality, card_quality, boundary_scores, hard_rules, refined_boxes, heuristic_detector, vision_runner)}
+QUERIES = {f.__name__: f for f in (content_boxes, crop_quality, card_quality, boundary_scores, hard_rules, refined_boxes, product_images, heuristic_detector, vision_runner)}

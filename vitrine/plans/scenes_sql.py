@@ -138,6 +138,11 @@ join measured using (page_id) join (select page_id, max(d) filter (axis = 'row')
 ), snapped as (
   select *, greatest(0, least(59, mx))::double as nx, greatest(0, least(47, my))::double as ny, greatest(1, least(60 - greatest(0, least(59, mx)), qx))::double as nw, greatest(1, least(48 - greatest(0, least(47, my)), qy))::double as nh from sized
 )""",
+    ),
+    "product_images": _with(
+        """select page_id, piece, side::bigint as side, side >= 150 and white <= 0.92 as valid from (
+  select page_id, piece, case piece when 'white' then 40 when 'low' then 140 else n end as side, case piece when 'white' then 1.0 when 'corner' then 1 - (n - 40) * 160 / (200.0 * n) else 0 end as white
+  from (select distinct page_id, 130 + page_id % 40 as n from v_box), (select unnest(['cell', 'white', 'corner', 'low']) as piece))""",
     ),
     "heuristic_detector": _with(
         """select page_id, (40 + 370 * c)::int as x, (40 + 310 * r)::int as y, 320 as width, 280 as height, 0.75::double as confidence, round(0.3 + 0.2 * (2.5 * (161 * 141 / (320 * 280)::double) + 2) + 0.1, 6) as quality_score, true as is_searchable, null::varchar as reject_reason from cells""",
