@@ -332,18 +332,26 @@ def extract(sources: list[str | None], forest: trees.Forest) -> list[str]:
     return out
 
 
+@cache
+def _words() -> list[str]:
+    """Made-up words of one to three syllables."""
+    syllables = "an ber ca de el fa go hin is ja ko lu mer no ou pra qui re sta ti un vel wer xa yo zen ã é ß ö".split()
+    r = np.random.default_rng(TRAIN_SEED)
+    return ["".join(syllables[k] for k in r.integers(len(syllables), size=r.integers(1, 4))) for _ in range(3000)]
+
+
 def training_page(r: np.random.Generator) -> tuple[str, list[bool]]:
     """A made-up page, and for each element but body, in order, whether it belongs to the article."""
-    syllables = "an ber ca de el fa go hin is ja ko lu mer no ou pra qui re sta ti un vel wer xa yo zen ã é ß ö".split()
-    word = lambda: "".join(r.choice(syllables, r.integers(1, 4)))
+    words = _words()
+    word = lambda: words[r.integers(len(words))]
     pick = lambda *x: x[r.integers(len(x))]
     chance = lambda p: r.random() < p
     marks: list[bool] = []
     out: list[str] = []
 
     def sentence(most: int) -> str:
-        w = [word() for _ in range(r.integers(1, most))]
-        w = [x + "," if chance(0.08) else x for x in w]
+        n = r.integers(1, most)
+        w = [words[k] + "," if comma else words[k] for k, comma in zip(r.integers(len(words), size=n).tolist(), (r.random(n) < 0.08).tolist(), strict=True)]
         return " ".join(w).capitalize() + pick(".", ".", ".", "!", "?")
 
     def prose(most: int = 6) -> str:
@@ -431,7 +439,7 @@ def training_page(r: np.random.Generator) -> tuple[str, list[bool]]:
         for _ in range(pick(1, 2, 4, 8, 14, 25)):
             kind = r.random()
             if kind < 0.70:
-                text = prose(pick(2, 3, 8))
+                text = " ".join(word() for _ in range(r.integers(1, 4))) if chance(0.08) else prose(pick(2, 3, 8))
                 if chance(0.2):
                     out.append("<p>")
                     marks.append(True)
