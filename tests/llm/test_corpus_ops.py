@@ -403,6 +403,20 @@ def test_mix_keeps_the_repeat_limit(spark):
     assert out[out.source == "b"]["copy"].max() <= 2
 
 
+def test_mix_with_a_hot_id(spark):
+    """One doc_id holds a third of the rows: they are taken together and strewn over blocks."""
+    rows = [(7 if k % 3 == 0 else 1000 + k, "w " * (5 + k % 40), "a" if k % 4 else "b") for k in range(3000)]
+    out = mixing.plan(frame(spark, rows), block_tokens=2000)[0].toPandas()
+    held = Counter((d, s) for d, _, s in rows)
+    taken = out.groupby(["source", "copy", "doc_id"]).size()
+    assert all(n == held[d, s] for (s, _, d), n in taken.items())
+    hot = out[out.doc_id == 7]
+    assert len(hot) >= 700 and hot.block.nunique() > 5
+    for _, part in out.groupby("block"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert Counter(x.doc_id for x in mixing.mixed(frame(spark, rows)).collect()) == Counter(mixing.mix_plan(frame(spark, rows)).toPandas().doc_id)
+
+
 def test_mix_odd_tables(spark):
     assert mixing.mix_plan(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).count() == 0
     one = frame(spark, [(1, None, None), (2, "", "x"), (None, "a b", "x"), (2, "", "x")])

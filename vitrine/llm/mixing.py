@@ -78,7 +78,7 @@ def plan(docs: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: float = MAX_R
     sources: src, tokens, quota, passes, rest, cut (the last order key of the pass that is not whole).
 
     The token budget is budget_ratio times all tokens. A null source is the source ''. Rows with one doc_id in a
-    source go together. Other columns are left alone; an empty table gives an empty result.
+    source, null among them, are taken together, in any order of theirs. Other columns are left alone; an empty table gives an empty result.
     """
     table = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of().alias("src"), tokens_of().alias("n_tokens")), "tokens")
     totals = stored(table.groupBy("src").agg(F.sum("n_tokens").alias("tokens")), "sources")
@@ -94,17 +94,23 @@ def plan(docs: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: float = MAX_R
     # Places in each pass: sums over parts of the order first, then within a part. No source is sorted in one task.
     every = table.join(quota, "src").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes"))))
     every = every.withColumn("key", order_key(F.col("copy"))).withColumn("part", F.substring("key", 1, 3))
-    parts = every.groupBy("src", "copy", "part").agg(F.sum("n_tokens").alias("part_tokens"))
+    # Rows with one key, those of a source with one doc_id, are summed before the shuffle and go together.
+    keys = every.groupBy("src", "tokens", "quota", "passes", "rest", "copy", "part", "key").agg(F.sum("n_tokens").alias("key_tokens"))
+    parts = keys.groupBy("src", "copy", "part").agg(F.sum("key_tokens").alias("part_tokens"))
     ahead = Window.partitionBy("src", "copy").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("src", "copy", "part", F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("src", "copy", "part").orderBy("key")  # rows with one key count together
-    placed = every.withColumn("inside", F.sum("n_tokens").over(inside)).join(parts, ["src", "copy", "part"])
+    inside = Window.partitionBy("src", "copy", "part").orderBy("key")
+    placed = keys.withColumn("inside", F.sum("key_tokens").over(inside)).join(parts, ["src", "copy", "part"])
     placed = placed.withColumn("upto", F.col("before") + F.col("inside")).where("copy < passes or upto <= rest")
     blocks = max(1, round(budget / block_tokens))
     big = "decimal(19,0)"
-    place = F.expr(f"cast(copy as {big}) * tokens + upto - n_tokens")
+    # Rows that share a key are strewn over its stretch, so that no block takes them all; one alone is at its begin.
+    place = F.expr(f"cast(copy as {big}) * tokens + upto - key_tokens + cast(floor((key_tokens - n_tokens) * part_of_one) as bigint)")
+    strewn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / F.lit(float(1 << 20))
     block = F.expr(f"least(cast(cast(place as {big}) * cast({blocks} as {big}) div greatest(quota, 1) as bigint), {blocks - 1}L)")
-    out = placed.withColumn("place", place.cast(big)).withColumn("block", block)
+    rows = every.select("doc_id", "src", "copy", "key", "n_tokens", strewn.alias("part_of_one"))
+    rows = rows.join(placed.select("src", "copy", "key", "tokens", "quota", "key_tokens", "upto"), ["src", "copy", "key"])
+    out = rows.withColumn("place", place.cast(big)).withColumn("block", block)
     slot = F.row_number().over(Window.partitionBy("block").orderBy("key", "src", "doc_id"))
     rows = out.select("doc_id", F.col("src").alias("source"), "copy", "n_tokens", "block", (slot - 1).alias("slot"))
     cuts = placed.where("copy = passes").groupBy("src").agg(F.max("key").alias("cut"))
