@@ -214,29 +214,27 @@ def family_links(texts: list[str], width: int, num: int, den: int) -> list[tuple
         both = len(members[0]) + len(members[1]) - len(number)
         return [(0, 1)] if both and both * den >= num * len(number) else []
     size = np.array([len(m) for m in members], np.int64)
-    flat = np.concatenate(members) if members else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(members)), size)
-    order = np.argsort(flat, kind="stable")
-    posting = owner[order]
-    df = np.bincount(flat, minlength=len(number))
-    at = np.concatenate([[0], np.cumsum(df)])
-    left = np.ones(len(members), bool)
-    links = []
-    for seed in range(len(members)):
-        if not left[seed]:
-            continue
-        left[seed] = False
-        queue = [seed]
-        while queue:
-            x = queue.pop()
-            if not size[x]:
-                continue
-            met = np.bincount(posting[ragged(at[members[x]], df[members[x]])], minlength=len(members))
-            linked = left & (met * den >= num * (size + size[x] - met)) & (size > 0)
-            for y in np.flatnonzero(linked).tolist():
-                links.append((x, y))
-                queue.append(y)
-            left[linked] = False
+    flat, owner = np.concatenate(members), np.repeat(np.arange(len(members)), size)
+    flat, owner = flat[order := np.argsort(flat, kind="stable")], owner[order]
+    left = size > 0
+    links: list[tuple[int, int]] = []
+    at = held = None
+    queue: list[int] = []
+    while queue or left.any():
+        if at is None or 2 * int(left.sum()) < held:  # postings of those alone that nothing has linked yet
+            held, use = int(left.sum()), left[owner]
+            flat, owner = flat[use], owner[use]
+            at = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(number)))])
+        x = queue.pop() if queue else int(left.argmax())
+        left[x] = False
+        own = members[x]
+        met = np.bincount(owner[ragged(at[own], at[own + 1] - at[own])], minlength=len(members))
+        linked = np.flatnonzero(left & (met * den >= num * (size + size[x] - met)))
+        links += [(x, y) for y in linked.tolist()]
+        queue += linked.tolist()
+        left[linked] = False
+        if not left.any():
+            break
     return links
 
 
