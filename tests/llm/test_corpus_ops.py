@@ -276,6 +276,25 @@ def test_branch_and_bound_drops_candidates():
     full = v @ v[7]
     full[7] = -(10**15)
     assert score.tolist() == sorted(full.tolist(), reverse=True)[:10] and (full[ids] == score).all()
+    # A bound from elsewhere drops what cannot reach it, and nothing that ties with it.
+    same, own = c.top(v[7], 7, 10, int(score[-1]))
+    assert same.tolist() == ids.tolist() and own.tolist() == score.tolist()
+    few, own = c.top(v[7], 7, 10, int(score[3]))
+    assert own[:4].tolist() == score[:4].tolist() and few[:4].tolist() == ids[:4].tolist()
+
+
+def test_top_k_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_ROWS", 50)
+    monkeypatch.setattr(topk, "CELL_QUERIES", 3)
+    r = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in r.integers(-3, 4, 12) / 4]) for k in range(700)] + [(k, [0.25] * 12) for k in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in sorted(topk.top_k_embeddings(df).collect(), key=lambda x: (x.query_id, x["rank"])):
+        got[x.query_id].append((x.vec_id, x.score))
+    good = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows}
+    want = {q: [(i, -s) for s, i in sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:10]] for q in good if q % 100 == 0}
+    assert dict(got) == want
 
 
 # ---- Main text

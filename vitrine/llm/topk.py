@@ -22,7 +22,7 @@ BLOCK_DIMS = 8
 #: A cell has about so many candidates and at most about so many queries.
 CELL_ROWS, CELL_QUERIES = 16384, 4096
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "no long, query_id long, vec_id long, score long"
 
 
 class Columns:
@@ -44,8 +44,9 @@ class Columns:
             squares.append(squares[-1] + (b * b).sum(axis=1))
         return [np.sqrt(s) for s in reversed(squares)]
 
-    def top(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best, ties to the smaller id; own: an id that takes no part."""
+    def top(self, query: np.ndarray, own: int | None, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best, ties to the smaller id; own: an id that takes no part; least: a score that k
+        candidates elsewhere reach, so that lower ones need not be found."""
         query = query[self.order]
         parts = [query[a:b] for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
         after = [float(x[0]) for x in self._rest([p[None].astype(np.float64) for p in parts])]
@@ -54,10 +55,12 @@ class Columns:
         for j, part in enumerate(parts):
             block = self.blocks[j] if len(alive) == len(self.ids) else self.blocks[j][alive]
             score = score + block @ part
-            if j + 1 < len(parts) and len(alive) > k:
+            if j + 1 < len(parts) and (len(alive) > k or least is not None):
                 slack = np.ceil(self.rest[j][alive] * after[j] * (1 + 1e-9)) + 1
                 low = score - slack
-                bound = np.partition(low, len(low) - k)[len(low) - k]
+                bound = -np.inf if least is None else least
+                if len(alive) > k:
+                    bound = max(bound, np.partition(low, len(low) - k)[len(low) - k])
                 stay = score + slack >= bound
                 if not stay.all():
                     alive, score = alive[stay], score[stay]
@@ -84,9 +87,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     best of them all. Scores must fit 64 bits; a table whose vectors could go beyond raises an error. Empty tables give an
     empty result. Queries are dealt to cells of candidates in blocks, and candidates to cells by a number of their own,
     so that alike rows fill no cell: a query meets every cell once and brings back its k best there, so what is shuffled
-    is queries times cells, not pairs.
+    is queries times cells, not pairs. One cell is searched ahead of the others; where it has k candidates for a query,
+    the k-th score bounds the search of all other cells.
     """
-    queries = queries.dropDuplicates(["vec_id", "v"])
+    queries = queries.dropDuplicates(["vec_id", "v"]).withColumn("no", F.monotonically_increasing_id())
     table = stored(candidates.withColumn("no", F.monotonically_increasing_id()), "candidates")
     asked = stored(queries, "queries")
     _check_range(table)
@@ -96,23 +100,32 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     cells = max(cells, min(table.sparkSession.sparkContext.defaultParallelism, -(-n // 2048)))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = table.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("no"), F.lit(cells)).cast("int").alias("cell"), numbers(blocks).alias("block"), "vec_id", "v")
-    right = asked.select(F.size("v").alias("dims"), numbers(cells).alias("cell"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    right = asked.select(F.size("v").alias("dims"), numbers(cells).alias("cell"), F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("int").alias("block"), "no", "vec_id", "v")
     key = ["dims", "cell", "block"]
 
     def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows) and len(wanted):
             columns = Columns(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"]))
-            for q, v in zip(wanted["vec_id"].tolist(), _matrix(wanted["v"]), strict=True):
-                ids, score = columns.top(v, q, k)
-                found.append((np.full(len(ids), q), ids, score))
+            least = [None if pd.isna(x) else int(x) for x in wanted["least"]]
+            for no, q, v, bound in zip(wanted["no"].tolist(), wanted["vec_id"].tolist(), _matrix(wanted["v"]), least, strict=True):
+                ids, score = columns.top(v, q, k, bound)
+                found.append((np.full(len(ids), no), np.full(len(ids), q), ids, score))
+        names = ("no", "query_id", "vec_id", "score")
         if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+            return pd.DataFrame({c: [] for c in names}).astype("int64")
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*found, strict=True), strict=True)})
 
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND)
+    def met(some: str, wanted: DataFrame) -> DataFrame:
+        return left.where(some).groupBy(*key).cogroup(wanted.where(some).groupBy(*key)).applyInPandas(search, FOUND)
+
+    out = met("cell = 0", right.withColumn("least", F.lit(None).cast("long")))
+    if cells > 1:
+        ahead = stored(out, "ahead")
+        bounds = ahead.groupBy("no").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
+        out = ahead.unionByName(met("cell > 0", right.join(bounds, "no", "left")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _check_range(table: DataFrame) -> None:
