@@ -27,6 +27,8 @@ BUCKETS = 1 << 18
 EMBED_BUCKETS = 1 << 12
 FOLDS = 4
 EPOCHS, BATCH, RATE = 8, 64, 0.02
+#: How firmly the weights of a document's highest and mean window are held near the network's own logit.
+FINAL_RIDGE = 5.0
 FEATURES = 5 + 2 * EMBED
 _U = np.uint64
 #: Letters and digits count, and all bytes above ASCII; what else stands at a word's ends is cut off.
@@ -248,7 +250,7 @@ class Model:
         begin = words.bounds()[text] + first
         logit = np.empty(len(text), np.float32)
         order = np.argsort(length, kind="stable")  # like lengths together: little padding
-        gf, gb = (g.astype(np.float32) for g in gates)
+        gf, gb = (g.astype(np.float32, copy=False) for g in gates)
         for k in range(0, len(order), 2048):
             own = order[k : k + 2048]
             place, there = _places(begin[own], length[own], len(words.codes) - 1)
@@ -271,6 +273,18 @@ class Model:
         return _sigmoid(p * x[:, 0] + q * x[:, 1] + c)
 
 
+def _combined(pooled: np.ndarray, marks: np.ndarray, ridge: float = FINAL_RIDGE) -> np.ndarray:
+    """Weights of highest and mean window and a constant, held near (1, 0, 0): the network's own logit."""
+    x = np.column_stack([pooled, np.ones(len(pooled))])
+    own = np.array([1.0, 0.0, 0.0])
+    w = own.copy()
+    for _ in range(50):
+        p = _sigmoid(x @ w)
+        hessian = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(3)
+        w -= np.linalg.solve(hessian, x.T @ (p - marks) + ridge * (w - own))
+    return w
+
+
 def fit(rows: list[tuple[int, str, int]], share: float | None = None, seed: int = 7) -> Model:
     """Fit on (doc_id, text, label); share: of ones among all labels, where the rows hold another share of them.
 
@@ -308,7 +322,7 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None, seed: int
             value = np.empty(len(text))
             for f in range(FOLDS):
                 own = np.flatnonzero(fold[text] == f)
-                gates = [g.astype(np.float32) for g in network.gates(np.concatenate([per_fold[f], network.p["ew"][entry_w], network.p["eb"][entry_b]], axis=1))]
+                gates = [g.astype(np.float32, copy=False) for g in network.gates(np.concatenate([per_fold[f], network.p["ew"][entry_w], network.p["eb"][entry_b]], axis=1))]
                 for k in range(0, len(own), 2048):
                     at = own[k : k + 2048]
                     place, there = _places(begin[at], length[at], len(words.codes) - 1)
@@ -339,12 +353,7 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None, seed: int
         gates = network.gates(np.concatenate([per_fold[f], network.p["ew"][entry_w], network.p["eb"][entry_b]], axis=1))
         own = fold == f
         pooled[own] = model.pooled(words, gates)[own]
-    x = np.column_stack([pooled, np.ones(len(rows))])
-    w = np.array([1.0, 0.0, 0.0])
-    for _ in range(50):
-        p = _sigmoid(x @ w)
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3)
-        w -= np.linalg.solve(hessian, x.T @ (p - marks) + 1e-2 * (w - [1, 0, 0]))
+    w = _combined(pooled, marks)
     if share is not None and 0 < share < 1:  # back from the sample's share of toxic documents to that of all labels
         w[2] += np.log(share / (1 - share)) - np.log(marks.mean() / (1 - marks.mean()))
     network.final = w
