@@ -515,8 +515,9 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    The whole html is read; a null or empty one, or a page without an article, gives an empty text; rows may repeat,
-    nulls in other columns stay, other columns are left alone, an empty table gives an empty result.
+    The whole html is read, in one pass, however long or malformed it is; a null or empty one, or a page without an
+    article, gives an empty text; equal odds keep an element; rows may repeat, nulls in other columns stay, other columns
+    are left alone, an empty table gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model())
 

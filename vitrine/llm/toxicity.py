@@ -369,7 +369,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     """doc_id, held_out, score, predicted for every document.
 
     Only the text is scored. A null or empty text gets the score of no evidence, a long one is scored in all its
-    windows; rows may repeat; a null doc_id is not held out. Without labels of both classes every score is the share of
+    windows, a chunk of its own, at a cost that grows with its words; a score that ties with the threshold counts as toxic;
+    rows may repeat; a null doc_id is not held out. Without labels of both classes every score is the share of
     toxic labels. Other columns are left alone; an empty table gives an empty result.
     """
     model = fit(*sample(docs, labels, "toxic"))
