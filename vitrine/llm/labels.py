@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Rows of each class, and bytes of their texts in all, that a sample takes at most. Scoring takes whole texts of all
 #: documents.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 6 << 20
+#: Ids that are broadcast at most, 12 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 17
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -43,10 +45,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     if share is None:
         return [], None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).join(marks, "doc_id")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size"))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    first = sizes.where("mark = 0").orderBy(*order).limit(rows).unionByName(sizes.where("mark = 1").orderBy(*order).limit(rows))
-    found = first.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").collect()
+    # The first ids of the order go to the documents; more of them where too many have no text.
+    take = 2 * rows
+    while True:
+        picked = marks.where("mark = 0").orderBy(*order).limit(take).unionByName(marks.where("mark = 1").orderBy(*order).limit(take))
+        held = sizes.join(F.broadcast(picked) if take <= BROADCAST_IDS else picked, "doc_id").groupBy("doc_id", "mark").agg(F.max("size").alias("size"))
+        found = held.where("mark = 0").orderBy(*order).limit(rows).unionByName(held.where("mark = 1").orderBy(*order).limit(rows))
+        found = found.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").collect()
+        short = [k for k in (0, 1) if sum(r["mark"] == k for r in found) < rows]
+        if not short or not marks.where(F.col("mark").isin(*short)).groupBy("mark").count().where(F.col("count") > take).count():
+            break
+        take *= 8
     taken = [r for k in (0, 1) for r in _within([r for r in found if r["mark"] == k], most)]
     if not taken:
         return [], share
