@@ -202,12 +202,44 @@ def test_edits_touch_little(spark, library):
     assert out[2].n_tokens_before == 0
 
 
-@pytest.mark.parametrize("text", ["a," * 300_000, "12" * 300_000, "ab1" * 200_000, "word;" * 120_000])
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.sampled_from("the ing tion a e str xqz an er ou Th zz hello 's é 5 -- <|endoftext|>".split() + [" "]), min_size=3, max_size=60),
+    st.lists(st.tuples(st.integers(0, 200), st.sampled_from([0, 0, 1, 2, 5, 30]), st.sampled_from(["", "a", "the", "xqz", "'s", "'", " ", "é", "Q", "9", "\u0301", "re", "tionth" * 4])), max_size=6),
+    st.sampled_from([4, 16, 64]),
+)
+def test_runs_of_letters_are_cut_between_tokens(parts, edits, size):
+    """Leaves within words, however small, count as the whole text does."""
+    full, text = bpe.encoder(bpe.default_path()).tokenizer, "".join(parts)
+    old, edit_counts.LEAF_BYTES = edit_counts.LEAF_BYTES, size
+    try:
+        (_, tree), *_ = edit_counts.trees(*text_buffers(pa.array([text])), bpe.default_path())
+    finally:
+        edit_counts.LEAF_BYTES = old
+    now = text.encode()
+    assert tree.n_tokens == len(full.encode(text, add_special_tokens=False).ids)
+    for begin, n, put in edits:
+        begin = edit_counts._edge(tree, begin)
+        end = edit_counts._edge(tree, begin + n)
+        tree.edit(begin, end, put.encode())
+        now = now[:begin] + put.encode() + now[end:]
+        assert tree.text() == now and tree.n_tokens == len(full.encode(now.decode(), add_special_tokens=False).ids)
+
+
+def test_long_runs_of_one_letter():
+    """Where every token shifts, no more than a few times the run is encoded."""
+    text = "a" * 200_000
+    (_, tree), *_ = edit_counts.trees(*text_buffers(pa.array([text])), bpe.default_path())
+    tree.edit(100_000, 100_003, b"x")
+    assert tree.encoded < 6 * len(text) and tree.n_tokens == len(bpe.encoder(bpe.default_path()).tokenizer.encode(tree.text().decode(), add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", ["a," * 300_000, "12" * 300_000, "ab1" * 200_000, "word;" * 120_000, "abc" * 200_000, "".join(random.Random(1).choices("etaoinshrdlu", k=600_000))])
 def test_edits_without_white_space_touch_little(text):
     (_, tree), *_ = edit_counts.trees(*text_buffers(pa.array([text])), bpe.default_path())
     for edit in ((300_000, 300_000, b" inserted "), (200_000, 200_024, b""), (100_000, 100_003, b"x"), (10**9, 10**9, b"ending")):
         tree.edit(*edit)
-    assert tree.encoded < 6000 and tree.n_tokens == len(bpe.encoder(bpe.default_path()).tokenizer.encode(tree.text().decode(), add_special_tokens=False).ids)
+    assert tree.encoded < 24_000 and tree.n_tokens == len(bpe.encoder(bpe.default_path()).tokenizer.encode(tree.text().decode(), add_special_tokens=False).ids)
 
 
 @settings(max_examples=200, deadline=None)
