@@ -279,6 +279,18 @@ def _settled(label: np.ndarray, margin: np.ndarray, lines: Lines, mark: np.ndarr
     return np.where(~fixed & (total[lines.doc] == 0), mark[lines.doc], out)
 
 
+def _sample_lines(texts: list[str]) -> Lines:
+    """The lines of all texts, found in chunks of them: no more than a chunk's words are held at a time."""
+    data, offsets = text_buffers(pa.array(texts, pa.large_string()))
+    parts = []
+    for a, b in chunks(offsets):
+        at = offsets[a : b + 1] - offsets[a]
+        words = find_words(data[offsets[a] : offsets[b]], at)
+        own = find_lines(words, repeated_words(words))
+        parts.append((own.doc + a, own.start + offsets[a], own.end + offsets[a], own.n_words, own.dup, own.features))
+    return Lines(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def fit(rows: list[tuple[int, str, int]]) -> Field:
     """Fit on (doc_id, text, label). With one class only, or no rows, every line is content."""
     marks = np.array([m for _, _, m in rows], np.int64)
@@ -293,8 +305,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Field:
         own = planted(text, r) if mark == 1 and k % 2 else (text, [False] * (text.count("\n") + 1))
         texts.append(own[0])
         flags += own[1]
-    words = find_words(*text_buffers(pa.array(texts, pa.large_string())))
-    lines = find_lines(words, repeated_words(words))
+    lines = _sample_lines(texts)
     fixed, x, chains = np.array(flags, bool), lines.features, Chains(lines.doc, len(rows))
     label = np.where(fixed, BOILERPLATE, marks[lines.doc])
     _descend(field, x, lines.doc, label, chains, STEPS, False)
@@ -302,7 +313,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Field:
         margin = x @ (field.weights[:, CONTENT] - field.weights[:, BOILERPLATE])
         label = _settled(field.decode(x, lines.doc, len(rows)), margin, lines, marks, fixed)
         _descend(field, x, lines.doc, label, chains, STEPS if turn == 0 else TURN_STEPS, True)
-    del words, lines, x
+    del lines, x
     release()
     return field
 

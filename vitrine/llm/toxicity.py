@@ -25,6 +25,8 @@ WINDOW, STRIDE = 64, 32
 HIDDEN, EMBED = 8, 2
 BUCKETS = 1 << 18
 EMBED_BUCKETS = 1 << 12
+#: Vocabulary entries that are hashed at a time in fitting.
+SLICE = 1 << 14
 FOLDS = 4
 EPOCHS, BATCH, RATE = 8, 64, 0.02
 #: How firmly the weights of a document's highest and mean window are held near the network's own logit.
@@ -83,6 +85,14 @@ def vocabulary(vocab: pa.Array) -> Vocabulary:
     return Vocabulary(mix64(word), mix64(begin + (_U(1) << _U(60))), mix64(begin * _U(256) + six + (_U(1) << _U(61))), mix64(four[at] + (_U(1) << _U(59))), np.concatenate([[0], np.cumsum(grams)]))
 
 
+def sliced_vocabulary(vocab: pa.Array, entries: int = SLICE) -> Vocabulary:
+    """The same for many entries, a slice at a time."""
+    parts = [vocabulary(vocab.slice(k, entries)) for k in range(0, max(len(vocab), 1), entries)]
+    shift = np.cumsum([0, *(len(p.grams) for p in parts)])
+    bounds = np.concatenate([[0], *(p.bounds[1:] + s for p, s in zip(parts, shift, strict=False))]).astype(np.int64)
+    return Vocabulary(*(np.concatenate([getattr(p, name) for p in parts]) for name in ("word", "begin", "longer", "grams")), bounds)
+
+
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(40)).astype(np.int64) % BUCKETS
 
@@ -298,7 +308,7 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None, seed: int
     fold = np.array([d * 2654435761 % 4294967296 >> 20 for d, _, _ in rows]) % FOLDS
     texts = pa.array([t for _, t, _ in rows], pa.large_string())
     words = find_words(*text_buffers(texts), lower=True)
-    v = vocabulary(words.vocab)
+    v = sliced_vocabulary(words.vocab)
     bounds = words.bounds()
     for k in range(len(rows)):
         own = np.unique(words.codes[bounds[k] : bounds[k + 1]])
@@ -311,9 +321,10 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None, seed: int
     text, first, length = windows(words.per_doc)
     begin = bounds[text] + first
     word_fold = fold[words.doc]
-    hint = per_fold[word_fold, words.codes][:, [0, 2, 4]].clip(0).sum(axis=1)
+    hint = per_fold[:, :, [0, 2, 4]].clip(0).sum(axis=2)[word_fold, words.codes]
     running = np.concatenate([[0], np.cumsum(hint)])
     value = running[begin + length] - running[begin]
+    del hint, running, word_fold
     r = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in network.p.items()}
     model, step = Model(network, evidence.ratios()), 0
