@@ -172,4 +172,4 @@ def write_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     found = read_records(manifest, folder)
-    return found.join(base, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32", "part")
+    return found.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32", "part")
