@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from vitrine.operators.geometry import iou
+from vitrine.operators import pairs
+from vitrine.operators.geometry import TOUCH, box, iou
 
 #: Thresholds of the three suppressions.
 FLAG_IOU, DROP_IOU, CARD_IOU = 0.65, 0.55, 0.6
@@ -64,25 +66,17 @@ def larger_cards(boxes: DataFrame, key: str, columns: list[str], tie: str) -> Da
     return suppressed(boxes, key, [-(F.col("b.width") * F.col("b.height")), F.col(tie)], columns, CARD_IOU, strict=True)
 
 
-def connected(nodes: DataFrame, pairs: DataFrame, key: str, id_column: str) -> DataFrame:
-    """The component of each node of a page: the smallest id that pairs (a, b) of the page reach."""
-
-    def component(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(rows[id_column].to_numpy())
-        a, b = np.searchsorted(ids, links["a"].to_numpy()), np.searchsorted(ids, links["b"].to_numpy())
-        label = np.arange(len(ids))
-        while True:
-            low = label.copy()
-            np.minimum.at(low, a, label[b])
-            np.minimum.at(low, b, label[a])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        out = pd.DataFrame({key: rows[key].iloc[0] if len(rows) else None, id_column: ids, "component": ids[label]})
-        return out[[key, id_column, "component"]]
+def connected(nodes: DataFrame, key: str, id_column: str, page_width: float, page_height: float) -> DataFrame:
+    """The component of each node of a page: the smallest id that boxes reach which touch or overlap. nodes: key, id, b (box
+    struct). A page's boxes come to one task, which makes no row for a pair. Boxes that share an id are one node."""
+
+    def component(rows: pa.Table) -> pa.Table:
+        node = pairs.dense_rank(rows.column(1))
+        label = pairs.touching_components(*pairs.box_arrays(rows.column(2)), node, TOUCH * page_width, TOUCH * page_height)
+        first = np.unique(node, return_index=True)[1]
+        ids = rows.column(1).take(pa.array(first))
+        return pa.Table.from_arrays([rows.column(0).take(pa.array(first)), ids, ids.take(pa.array(label))], names=[key, id_column, "component"])
 
     types = dict(nodes.dtypes)
     schema = f"{key} {types[key]}, {id_column} {types[id_column]}, component {types[id_column]}"
-    links = pairs.select(F.col(key).alias("_key"), "a", "b")
-    return nodes.select(key, id_column).groupBy(key).cogroup(links.groupBy("_key")).applyInPandas(component, schema)
+    return nodes.select(key, id_column, box("b.").alias("b")).groupBy(key).applyInArrow(component, schema)

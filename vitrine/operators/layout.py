@@ -100,7 +100,7 @@ def card_boxes(blocks: DataFrame, sizes: DataFrame, image_width: float, image_he
     W, H = float(image_width), float(image_height)
     usable = in_pixels(blocks, sizes).where(~G.is_furniture(F.col("b"), F.col("type"), F.lit(W), F.lit(H)))
     images = usable.where("type = 'image'").select("page_id", "block_id", "b")
-    part = connected(images, G.touching_pairs(images, "page_id", "block_id", W, H), "page_id", "block_id")
+    part = connected(images, "page_id", "block_id", W, H)
     hull = lambda c: F.struct(F.min(f"{c}.x").alias("x"), F.min(f"{c}.y").alias("y"), (F.max(F.expr(f"{c}.x + {c}.width")) - F.min(f"{c}.x")).alias("width"), (F.max(F.expr(f"{c}.y + {c}.height")) - F.min(f"{c}.y")).alias("height"))
     anchors = images.join(part, ["page_id", "block_id"]).groupBy("page_id", F.col("component").alias("card_id")).agg(hull("b").alias("a"))
     texts = usable.where("type = 'text'").select("page_id", "block_id", "text", F.col("b").alias("t"))

@@ -169,7 +169,7 @@ def touching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def connected_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _boxes(spark, sf_dir)
-    return boxes.connected(b, geometry.touching_pairs(b, "page_id", "box_id", PAGE_WIDTH, PAGE_HEIGHT), "page_id", "box_id")
+    return boxes.connected(b, "page_id", "box_id", PAGE_WIDTH, PAGE_HEIGHT)
 
 
 def nms_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
