@@ -48,3 +48,18 @@ def test_connected_boxes_that_share_an_id_are_one(spark):
     rows = [(1, 2, 0.0), (1, 2, 500.0), (1, 1, 100.0), (1, 3, 509.0)]
     df = spark.createDataFrame(rows, "page_id int, box_id int, x double").selectExpr("*", "named_struct('x', x, 'y', 0.0D, 'width', 5.0D, 'height', 5.0D) as b")
     assert sorted(map(tuple, boxes.connected(df, "page_id", "box_id", WIDTH, HEIGHT).collect())) == [(1, 1, 1), (1, 2, 2), (1, 3, 2)]
+
+
+def test_nearest_anchor_equals_all_pairs(spark):
+    df = frame(spark)
+    texts, anchors = (df.where(w).select("page_id", F.col("box_id").alias(i), F.col("b").alias(b)) for w, i, b in (("box_id % 3 <> 0", "box_id", "t"), ("box_id % 3 = 0", "anchor_id", "a")))
+    texts = texts.unionByName(texts.where("box_id % 50 = 1").withColumn("t", F.struct((F.col("t.x") + 31).alias("x"), "t.y", "t.width", "t.height")))  # ids that repeat
+    got = [tuple(r) for r in joinless(geometry.nearest_anchor(texts, anchors, "page_id", "box_id", "anchor_id", WIDTH, HEIGHT))]
+    t, a = F.col("t"), F.col("a")
+    (dx, dy), (ox, oy) = geometry.gaps(t, a), geometry.overlaps(t, a)
+    caption = (dy <= geometry.NEAR_Y * HEIGHT) & (ox >= geometry.OVERLAP * F.least(t["width"], a["width"]))
+    beside = (dx <= geometry.NEAR_X * WIDTH) & (oy >= geometry.OVERLAP * F.least(t["height"], a["height"]))
+    met = texts.where(t["x"].isNotNull() & (t["width"] <= geometry.CAPTION_WIDTH * WIDTH)).join(anchors.where("a.x is not null"), "page_id").where(caption | beside)
+    best = met.groupBy("page_id", "box_id").agg(F.min(F.struct((dx + dy).alias("d"), "anchor_id")).alias("m"))
+    want = [tuple(r) for r in best.select("page_id", "box_id", "m.anchor_id", "m.d").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 400 and any(r[3] > 0 for r in want)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.operators import pairs
+
 #: Limits of a usable box.
 MIN_SIDE, MAX_AREA, HEADER, FOOTER, BAR_ASPECT, COLUMN_ASPECT = 180, 0.85, 0.1, 0.92, 4.5, 0.22
 #: Page furniture of the layout detector.
@@ -115,13 +119,23 @@ def nearest_anchor(texts: DataFrame, anchors: DataFrame, key: str, text_id: str,
 
     texts: key, id, t (box struct); anchors: key, id, a (box struct). Texts without such an image are left out.
     """
-    t, a = F.col("t"), F.col("a")
-    (dx, dy), (ox, oy) = gaps(t, a), overlaps(t, a)
-    caption = (dy <= NEAR_Y * page_height) & (ox >= OVERLAP * F.least(t["width"], a["width"]))
-    beside = (dx <= NEAR_X * page_width) & (oy >= OVERLAP * F.least(t["height"], a["height"]))
-    met = texts.where(t["width"] <= CAPTION_WIDTH * page_width).join(anchors, key).where(caption | beside)
-    best = F.min_by(F.struct(F.col(anchor_id), (dx + dy).alias("distance")), F.struct((dx + dy).alias("d"), F.col(anchor_id)))
-    return met.groupBy(key, text_id).agg(best.alias("m")).select(key, text_id, f"m.{anchor_id}", "m.distance")
+    texts = texts.where(F.col(key).isNotNull() & (F.col("t.width") <= CAPTION_WIDTH * page_width)).select(key, text_id, box("t.").alias("t"))
+    anchors = anchors.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), anchor_id, box("a.").alias("a"))
+
+    def meet(own: pa.Table, images: pa.Table) -> pa.Table:
+        """A page's texts and images, without a row for a pair; texts that share an id are one."""
+        images = images.take(pa.array(np.argsort(pairs.dense_rank(images.column(1)), kind="stable")))
+        found, distance = pairs.nearest(pairs.box_arrays(own.column(2)), pairs.box_arrays(images.column(2)), NEAR_X * page_width, NEAR_Y * page_height, OVERLAP)
+        some = np.flatnonzero(found >= 0)
+        name = pairs.dense_rank(own.column(1))[some]
+        some = some[np.lexsort((found[some], distance[some], name))]
+        some = some[np.unique(np.sort(name), return_index=True)[1]]
+        columns = [own.column(0).take(pa.array(some)), own.column(1).take(pa.array(some)), images.column(1).take(pa.array(found[some])), pa.array(distance[some])]
+        return pa.Table.from_arrays(columns, names=[key, text_id, anchor_id, "distance"])
+
+    types = dict(texts.dtypes) | dict(anchors.dtypes)
+    schema = f"{key} {types[key]}, {text_id} {types[text_id]}, {anchor_id} {types[anchor_id]}, distance double"
+    return texts.groupBy(key).cogroup(anchors.groupBy("_key")).applyInArrow(meet, schema)
 
 
 def capped(rows: DataFrame, key: str, order: list[Column], searchable: Column, most: int = 18, most_searchable: int = 12) -> DataFrame:
