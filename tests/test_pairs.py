@@ -63,3 +63,13 @@ def test_nearest_anchor_equals_all_pairs(spark):
     best = met.groupBy("page_id", "box_id").agg(F.min(F.struct((dx + dy).alias("d"), "anchor_id")).alias("m"))
     want = [tuple(r) for r in best.select("page_id", "box_id", "m.anchor_id", "m.d").collect()]
     assert sorted(got) == sorted(want) and len(want) > 400 and any(r[3] > 0 for r in want)
+
+
+def test_flagged_equal_all_pairs(spark):
+    df = frame(spark)
+    got = {r.box_id: r.duplicate for r in joinless(boxes.flagged_duplicates(df, "page_id", F.col("box_id") % 9 != 0, F.col("confidence"), ["box_id"], "box_id"))}
+    place = F.struct((F.col("box_id") % 9 == 0).cast("int"), -F.col("confidence"), F.col("box_id"))
+    own = df.withColumn("place", place).select("page_id", "box_id", "b", "place")
+    other = own.select("page_id", F.col("b").alias("q"), F.col("place").alias("earlier"))
+    found = {r[0] for r in own.join(other, "page_id").where("earlier < place").where(geometry.iou(F.col("q"), F.col("b")) >= boxes.FLAG_IOU).select("box_id").distinct().collect()}
+    assert got == {r.box_id: r.box_id in found for r in df.collect()} and 50 < len(found) < len(got) - 50

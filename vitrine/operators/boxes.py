@@ -35,25 +35,25 @@ def suppressed(boxes: DataFrame, key: str, order: list[Column], columns: list[st
 def flagged_duplicates(boxes: DataFrame, key: str, valid: Column, confidence: Column, columns: list[str], tie: str) -> DataFrame:
     """Valid boxes first, then by confidence; what overlaps any earlier box, a duplicate or not, is marked.
 
-    So no order of steps is needed: a box looks for an earlier one. Boxes that overlap so far have widths within FLAG_IOU of
-    each other and centres no farther apart than what is left of the larger one; they meet by a class of widths (powers of
-    two) and a strip of the page of that class.
+    So no order of steps is needed: a box looks for an earlier one. A page's boxes come to one task, which makes no row for
+    a pair; rows alike in validity, confidence and tie are marked together.
     """
-    place, strip, size = (f"_{c}" for c in ("place", "strip", "size"))
-    own = boxes.withColumn(place, F.struct((~valid).cast("int").alias("a"), (-confidence).alias("b"), F.col(tie).alias("c")))
-    some = F.col("b.width") > 0
-    middle = F.col("b.x") + F.col("b.width") / 2
-    wide = lambda s: F.pow(F.lit(2.0), s + 1)
-    level = lambda w: F.floor(F.log2(w)).cast("int")
-    there = own.where(some).select(key, F.col("b").alias("_b"), F.col(place).alias("_earlier"), level(F.col("b.width")).alias(size), F.floor(middle / wide(level(F.col("b.width")))).alias(strip))
-    classes = F.sequence(level(F.col("b.width") * (FLAG_IOU * 0.999)), level(F.col("b.width") / (FLAG_IOU * 0.999)))
-    reach = (1.001 - FLAG_IOU) * F.greatest(F.col("b.width"), wide(F.col(size)))
-    asked = own.where(some).withColumn(size, F.explode(classes))
-    asked = asked.withColumn(strip, F.explode(F.sequence(F.floor((middle - reach) / wide(F.col(size))), F.floor((middle + reach) / wide(F.col(size))))))
-    met = asked.join(there, [key, size, strip]).where((F.col("_earlier") < F.col(place)) & (iou(F.col("_b"), F.col("b")) >= FLAG_IOU))
-    found = met.select(F.col(key).alias("_key"), F.col(place).alias("_found")).distinct()
-    out = own.join(found, (F.col(key) == F.col("_key")) & (F.col(place) == F.col("_found")), "left")
-    return out.select(key, *columns, "b", F.col("_found").isNotNull().alias("duplicate"))
+    own = [f"_{c}" for c in ("invalid", "nan", "order", "tie", "box")]
+    order = -confidence.cast("double")
+    placed = boxes.select(key, *columns, "b", *(c.alias(n) for c, n in zip(((~valid).cast("int"), F.isnan(order), order, F.col(tie), box("b.")), own, strict=True)))
+    kept = [key, *columns, "b"]
+
+    def mark(rows: pa.Table) -> pa.Table:
+        ranks = np.array([pairs.dense_rank(rows.column(c)) for c in own[:4]])
+        order = np.lexsort(ranks[::-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.append(0, (ranks[:, order[1:]] != ranks[:, order[:-1]]).any(axis=0)))
+        marked = np.zeros(len(order), bool)
+        marked[rank[pairs.overlapped(*pairs.box_arrays(rows.column(own[4])), rank, FLAG_IOU)]] = True
+        return pa.Table.from_arrays([*(rows.column(k) for k in range(len(kept))), pa.array(marked[rank])], names=[*kept, "duplicate"])
+
+    schema = StructType([*placed.select(*kept).schema.fields, StructField("duplicate", BooleanType())])
+    return placed.groupBy(key).applyInArrow(mark, schema)
 
 
 def refined_duplicates(boxes: DataFrame, key: str, vision: Column, boundary: Column, quality: Column, columns: list[str], tie: str) -> DataFrame:
