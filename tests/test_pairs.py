@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from vitrine.operators import boxes, geometry
 
 WIDTH, HEIGHT = 600.0, 840.0
@@ -73,3 +74,15 @@ def test_flagged_equal_all_pairs(spark):
     other = own.select("page_id", F.col("b").alias("q"), F.col("place").alias("earlier"))
     found = {r[0] for r in own.join(other, "page_id").where("earlier < place").where(geometry.iou(F.col("q"), F.col("b")) >= boxes.FLAG_IOU).select("box_id").distinct().collect()}
     assert got == {r.box_id: r.box_id in found for r in df.collect()} and 50 < len(found) < len(got) - 50
+
+
+def test_vector_literal_rounds_as_sql(spark, tmp_path):
+    """0.009 as a float is a little less: its product with 1000 is 9 as a float, below 9 as a double."""
+    duckdb = pytest.importorskip("duckdb")
+    df = spark.createDataFrame([(1, [0.009, -0.009, 0.5]), (2, []), (3, None), (4, [None, 0.018])], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(f"select vec_id, literal from ({__spark_entry__.oracle_sql()['vector_literal']})").fetchall())
+    got = sorted(map(tuple, __spark_entry__.queries()["vector_literal"](spark, str(tmp_path)).collect()))
+    assert got == want and got[0] == (1, "[9,-9,500]")

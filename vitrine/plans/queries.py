@@ -68,7 +68,8 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", vector.literal(F.transform("embedding", lambda x: F.floor(x * 1000).cast("int"))).alias("literal"))
+    # A product of floats is rounded to a float, as in SQL; Spark alone would take a double, whose floor can be one less.
+    return e.select("vec_id", vector.literal(F.transform("embedding", lambda x: F.floor(x * F.lit(1000.0).cast("float")).cast("int"))).alias("literal"))
 
 
 def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
