@@ -18,7 +18,7 @@ and a spanning forest of the links goes out: it has the components of all links
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import exp, sqrt
 
 import numpy as np
@@ -36,7 +36,7 @@ SHINGLE_WORDS, NUM, DEN = 4, 85, 100
 FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 1 << 19
 #: A key that so many classes share, by a part of the classes (one of HOT_PART), is handled apart.
 HOT_KEY, HOT_PART = 1 << 14, 64
-#: Ids that are broadcast at most (16 bytes each, before the hash table).
+#: Ids that are broadcast at once, about (16 bytes each, before the hash table).
 BROADCAST_IDS = 500_000
 #: What a key costs, and what the chance match of a subset of one shingle costs; each further shingle makes it 4 times less likely.
 KEY_COST, CHANCE_COST = 1.0, 64.0
@@ -249,13 +249,15 @@ def _classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame
     sets = stored(full.drop("keys"), "slim")
     discard(full)
     families = _families(classes)
-    links = stored(_family_pairs(docs, classes, families, width, num, den), "links")
-    reached = components(links)
-    slim = classes.drop("keys", "th").join(reached.withColumnRenamed("node", "cid"), "cid", "left").where("n_rows > 1 or component is not null")
+    keyed, classes = classes, stored(classes.drop("keys"), "classes")
+    discard(keyed)
+    forests = _family_pairs(docs, classes, families, width, num, den)
+    reached = components(reduce(DataFrame.unionByName, forests))
+    slim = classes.drop("th").join(reached.withColumnRenamed("node", "cid"), "cid", "left").where("n_rows > 1 or component is not null")
     slim = stored(slim.withColumn("component", F.coalesce("component", "cid")), "reached")
     least = slim.groupBy("component").agg(F.min("doc_id").alias("least"))
     found = stored(slim.join(least, "component").select("f1", "f2", "n_shingles", "component", "least"), "found")
-    discard(classes, families, links, reached, slim)
+    discard(classes, families, *forests, reached, slim)
     return sets, found
 
 
@@ -293,8 +295,13 @@ def linked_components(docs: DataFrame, width: int = SHINGLE_WORDS, num: int = NU
     return every.select("doc_id", "n_shingles", F.when(linked, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _family_pairs(docs: DataFrame, classes: DataFrame, families: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Spanning forests of all families: a, b."""
+def _family_pairs(docs: DataFrame, classes: DataFrame, families: DataFrame, width: int, num: int, den: int) -> list[DataFrame]:
+    """Spanning forests of all families: tables of a, b, each stored.
+
+    Members' ids are broadcast to the texts, so only texts of members are shuffled. Where there are too many ids for that,
+    families are taken in rounds, each with about so many members; a round reads the documents again, but its shuffles are
+    gone before the next.
+    """
     members = stored(classes.select("cid", "doc_id", "th", "n_shingles").join(families.select("cid").distinct(), "cid", "left_semi"), "members")
     sized = families.join(members.select("cid", "n_shingles"), "cid").groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
     blocks = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.least(F.ceil(F.col("size") / FAMILY_SHINGLES), F.col("n"))).cast("int")
@@ -304,12 +311,16 @@ def _family_pairs(docs: DataFrame, classes: DataFrame, families: DataFrame, widt
     # A member of block i is needed in the tasks (i, j) of all j; most families have one block and one task.
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("pivot", "cid", "block", others).select("pivot", "cid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # Few members: their ids go to the texts, and only their texts are dealt out. More: both are dealt out by id.
-    few = members.count() <= BROADCAST_IDS
-    named = members.select("cid", "doc_id", "th")
-    needed = _texts(docs).join(F.broadcast(named) if few else named, ["doc_id", "th"]).groupBy("cid").agg(F.min("text").alias("text"))
-    dealt = placed.join(needed, "cid").withColumn("h", F.xxhash64("pivot", "i", "j"))
-    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h", "pivot", "i", "j", "cid").drop("h")
+    rounds = max(1, -(-members.count() // BROADCAST_IDS))
+
+    def dealt(turn: int) -> DataFrame:
+        own = placed.where(F.pmod(F.hash("pivot"), F.lit(rounds)) == turn)
+        named = members.select("cid", "doc_id", "th")
+        if rounds > 1:
+            named = named.join(own.select("cid").distinct(), "cid", "left_semi")
+        needed = _texts(docs).join(F.broadcast(named), ["doc_id", "th"]).groupBy("cid").agg(F.min("text").alias("text"))
+        rows = own.join(needed, "cid").withColumn("h", F.xxhash64("pivot", "i", "j"))
+        return rows.repartition(shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h", "pivot", "i", "j", "cid").drop("h")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Families lie one after the other; one that a batch ends in is carried on."""
@@ -342,7 +353,9 @@ def _family_pairs(docs: DataFrame, classes: DataFrame, families: DataFrame, widt
         if found:
             yield out()
 
-    return dealt.mapInArrow(decide, "a long, b long")
+    forests = [stored(dealt(turn).mapInArrow(decide, "a long, b long"), "links") for turn in range(rounds)]
+    discard(members, large)
+    return forests
 
 
 def deduplicated(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
