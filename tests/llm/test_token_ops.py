@@ -50,6 +50,18 @@ def test_a_full_cache_starts_anew():
         assert got == ids(small.tokenizer, text)
 
 
+def test_a_full_cache_keeps_words_met_again():
+    small = bpe.WordEncoder(bpe.default_path(), room=20)
+    made = []
+    merge = small.merge
+    small.merge = lambda word: made.append(word) or merge(word)
+    for k in range(12):  # four words that come again, four new ones
+        text = "red green blue größe " + " ".join("new" + "abcdefghijkl"[k] * (j + 1) for j in range(4))
+        got = [x.tolist() for _, x, _ in small.encode(*text_buffers(pa.array([text])))][0]
+        assert got == ids(small.tokenizer, text) and len(small.row) <= 20
+    assert made.count("red") == 1 and len(made) == 4 + 4 * 12
+
+
 def test_words_are_bytes_split():
     texts = ["a b", "", "\x0b\x0c x y \n", None, "z"]
     w = find_words(*text_buffers(pa.array(texts)))

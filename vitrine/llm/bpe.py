@@ -12,13 +12,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 
 from vitrine.llm.words import LOWER, Words, chunks, find_words, ragged, whole_texts
 
-#: Words in a worker's cache, and their bytes; it starts anew beyond that.
-CACHE_WORDS, CACHE_BYTES = 150_000, 8 << 20
+#: Words in a worker's cache, and their bytes; beyond that, only words stay that were met again since the last time.
+CACHE_WORDS, CACHE_BYTES = 200_000, 8 << 20
 END_ID = 2
 #: What a tokenizer file says whose ids go by words, as its JSON.
 RULES = {
@@ -31,8 +33,11 @@ RULES = {
         ],
     },
 }
-#: Pieces that normalisation and pre-tokenisation leave as they are: lower-case letters of ASCII and Latin-1.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Pieces that normalisation and pre-tokenisation leave as they are: lower-case letters of ASCII and Latin-1, in UTF-8.
+PLAIN = re.compile(rb"(?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++").fullmatch
+ID = attrgetter("id")
+#: New pieces that are encoded at once.
+BATCH = 20_000
 
 
 def default_path() -> str:
@@ -67,15 +72,26 @@ class WordEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
-        # Byte-level files write each byte as one character.
-        self.as_byte = {b: ByteLevelAlphabet[b] for b in range(256)}
+        # Byte-level files write each byte as one character, none of them white space.
+        self.as_byte = {b: ByteLevelAlphabet[b] for b in range(256)} | {32: " "}
         self._clear()
 
     def _clear(self) -> None:
         self.row: dict[bytes, int] = {}
         self.held = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.start, self.length, self.again = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
+
+    def _shrink(self, room: int) -> None:
+        """Keep the words met again, if they leave half of the room and of the bytes."""
+        keep = np.flatnonzero(self.again[: len(self.row)])
+        words = list(self.row)
+        words = [words[k] for k in keep.tolist()]
+        length = self.length[keep]
+        ids = self.flat[ragged(self.start[keep], length.astype(np.int64))]
+        self._clear()
+        if 2 * len(words) <= room and 2 * sum(map(len, words)) <= CACHE_BYTES:
+            self._put(words, ids, length)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has; no text may hold white space at its ends."""
@@ -86,19 +102,18 @@ class WordEncoder:
         return ids, np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(texts))
 
     def _add(self, missing: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in missing]
         if not self.by_words:
-            lists = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            lists = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in missing]
             self._put(missing, np.fromiter((x for own in lists for x in own), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
             return
-        plain = [i for i, t in enumerate(texts) if PLAIN(t)]
-        merge, alphabet = self.merge, self.as_byte
-        lists = [[t.id for t in merge(missing[i].decode("latin-1").translate(alphabet))] for i in plain]
-        rest = sorted(set(range(len(texts))).difference(plain))
-        ids, length = self._ids([texts[i] for i in rest]) if rest else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        ids = np.concatenate([np.fromiter((x for own in lists for x in own), np.uint32), ids])
-        length = np.concatenate([np.fromiter(map(len, lists), np.int64, len(lists)), length])
-        self._put([missing[i] for i in plain] + [missing[i] for i in rest], ids, length)
+        plain = [w for w in missing if PLAIN(w)]
+        if plain:
+            lists = list(map(self.merge, b" ".join(plain).decode("latin-1").translate(self.as_byte).split(" ")))
+            length = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._put(plain, np.fromiter(map(ID, chain.from_iterable(lists)), np.uint32, int(length.sum())), length)
+        if len(plain) < len(missing):
+            rest = [w for w in missing if not PLAIN(w)]
+            self._put(rest, *self._ids([w.decode("utf-8", "replace") for w in rest]))
 
     def _put(self, missing: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         n = len(self.row)
@@ -107,6 +122,7 @@ class WordEncoder:
         while n + len(missing) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[n : n + len(missing)] = length
         self.start[n : n + len(missing)] = self.used + np.concatenate([[0], np.cumsum(length)[:-1]])
@@ -117,12 +133,14 @@ class WordEncoder:
     def rows(self, vocab: list[bytes]) -> np.ndarray:
         """Rows of start and length for distinct words."""
         if len(self.row) + len(vocab) > max(self.room, len(vocab)) or self.held > CACHE_BYTES:
-            self._clear()
-        get = self.row.get
+            self._shrink(max(0, self.room - len(vocab)))
+        get, held = self.row.get, len(self.row)
         missing = [w for w in vocab if w not in self.row]
-        for k in range(0, len(missing), 50_000):
-            self._add(missing[k : k + 50_000])
-        return np.fromiter((get(w) for w in vocab), np.int64, len(vocab))
+        for k in range(0, len(missing), BATCH):
+            self._add(missing[k : k + BATCH])
+        rows = np.fromiter(map(get, vocab), np.int64, len(vocab))
+        self.again[rows[rows < held]] = True
+        return rows
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> Words:
         """The pieces of each text whose ids, one after the other, are the text's ids."""
