@@ -86,3 +86,39 @@ def test_vector_literal_rounds_as_sql(spark, tmp_path):
     want = sorted(con.sql(f"select vec_id, literal from ({__spark_entry__.oracle_sql()['vector_literal']})").fetchall())
     got = sorted(map(tuple, __spark_entry__.queries()["vector_literal"](spark, str(tmp_path)).collect()))
     assert got == want and got[0] == (1, "[9,-9,500]")
+
+
+def all_touching(df):
+    one = df.select("page_id", F.col("box_id").alias("a"), F.col("b").alias("p"))
+    two = df.select("page_id", F.col("box_id").alias("b"), F.col("b").alias("q"))
+    dx, dy = geometry.gaps(F.col("p"), F.col("q"))
+    touch = ((dx <= geometry.TOUCH * WIDTH) & (dy <= geometry.TOUCH * HEIGHT)) | (geometry.iou(F.col("p"), F.col("q")) > geometry.TOUCH_IOU)
+    return sorted(map(tuple, one.join(two, "page_id").where(F.col("a") < F.col("b")).where(touch).select("page_id", "a", "b").collect()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 900])
+def test_touching_pairs_equal_all_pairs_without_a_join(spark, n):
+    """Null sides, sides below 0, ids that repeat, null ids and keys; numbers and texts as ids."""
+    df = frame(spark, n)
+    df = df.unionByName(df.where("box_id % 40 = 3")).unionByName(df.limit(2).withColumn("page_id", F.lit(None).cast("long"))).unionByName(df.limit(2).withColumn("box_id", F.lit(None).cast("long")))
+    for boxes_of in (df, df.withColumn("box_id", F.col("box_id").cast("string"))):
+        found = geometry.touching_pairs(boxes_of, "page_id", "box_id", WIDTH, HEIGHT)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == all_touching(boxes_of) and found.dtypes[1:] == [(c, dict(boxes_of.dtypes)["box_id"]) for c in "ab"]
+
+
+def test_touching_pairs_of_many_boxes_in_one_place(spark):
+    """More pairs than a batch holds, and more for a box than a list holds."""
+    df = spark.range(2000).selectExpr("7L as page_id", "id as box_id", "named_struct('x', 1.0D * (id % 9), 'y', 130.0D + id % 20, 'width', 30.0D, 'height', 30.0D) as b")
+    found = geometry.touching_pairs(df, "page_id", "box_id", WIDTH, HEIGHT)
+    assert found.agg(F.count("*"), F.countDistinct("a", "b"), F.min(F.expr("b - a"))).first() == (1999000, 1999000, 1)
+
+
+def test_touching_pairs_equal_sql_with_nulls(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(1200).selectExpr("if(id = 9, null, id) as o_orderkey", "if(id % 50 = 7, null, id * 7) as o_custkey", "if(id % 60 = 11, null, id * 3.5D) as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(con.sql(f"select page_id, a, b from ({__spark_entry__.oracle_sql()['touching_pairs']})").fetchall())
+    got = sorted((r.page_id, r.a, r.b) for r in __spark_entry__.queries()["touching_pairs"](spark, str(tmp_path)).collect())
+    assert got == want and any(b % 50 == 7 for _, _, b in got) and any(a % 60 == 11 for _, a, _ in got)

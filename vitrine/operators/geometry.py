@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +18,8 @@ MIN_SIDE, MAX_AREA, HEADER, FOOTER, BAR_ASPECT, COLUMN_ASPECT = 180, 0.85, 0.1,
 FULL_PAGE, BACKGROUND, BAR_WIDTH, BAR_HEIGHT, BAND = 0.9, 0.85, 0.8, 0.04, 0.05
 #: When images touch, and how far a text may be from its image (shares of the page).
 TOUCH, TOUCH_IOU, NEAR_X, NEAR_Y, OVERLAP, CAPTION_WIDTH = 0.015, 0.2, 0.04, 0.05, 0.4, 0.55
-#: Cells along each side of a page by which boxes meet; changes no result.
-CELLS = 6
+#: Strips of a page in which boxes meet, and boxes in a list of those that touch one; both change no result.
+STRIPS, LIST = 6, 512
 
 
 def sides(r: Column) -> tuple[Column, Column, Column, Column]:
@@ -97,21 +100,47 @@ def centers_in(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
 
 
 def touching_pairs(images: DataFrame, key: str, id_column: str, page_width: float, page_height: float) -> DataFrame:
-    """Pairs a < b of one page whose boxes touch or overlap. images: key, id, b (box struct)."""
-    cell = lambda v, size: F.least(F.lit(CELLS - 1.0), F.greatest(F.lit(0.0), F.floor(v * CELLS / size))).cast("int")
+    """Pairs a < b of one page whose boxes touch or overlap. images: key, id, b (box struct). A null side limits nothing.
+
+    A strip of a page comes to one task, which makes a list for each box and no row for a pair; pairs become rows at the end.
+    """
+    cell = lambda v: F.least(F.lit(STRIPS - 1.0), F.greatest(F.lit(0.0), F.floor(v * STRIPS / page_height))).cast("int")
     x, y, x2, y2 = sides(F.col("b"))
-    # Boxes can touch if, with the margin added on the right and below (a little more, for rounding), they share a point.
-    span = lambda low, high, size: F.sequence(cell(low, size), F.greatest(cell(low, size), cell(high + TOUCH * size * 1.001, size)))
-    placed = images.withColumns({"_x": cell(x, page_width), "_y": cell(y, page_height)})
-    placed = placed.withColumn("_i", F.explode(span(x, x2, page_width))).withColumn("_j", F.explode(span(y, y2, page_height)))
-    a = placed.select(key, "_i", "_j", F.col(id_column).alias("a"), F.col("b").alias("box_a"), F.col("_x").alias("xa"), F.col("_y").alias("ya"))
-    b = placed.select(key, "_i", "_j", F.col(id_column).alias("b"), F.col("b").alias("box_b"), F.col("_x").alias("xb"), F.col("_y").alias("yb"))
-    # A pair meets in every cell both lie in; it counts in the first.
-    first = (F.col("_i") == F.greatest("xa", "xb")) & (F.col("_j") == F.greatest("ya", "yb"))
-    pairs = a.join(b, [key, "_i", "_j"]).where((F.col("a") < F.col("b")) & first)
-    dx, dy = gaps(F.col("box_a"), F.col("box_b"))
-    close = (dx <= TOUCH * page_width) & (dy <= TOUCH * page_height)
-    return pairs.where(close | (iou(F.col("box_a"), F.col("box_b")) > TOUCH_IOU)).select(key, "a", "b")
+    wide = lambda low, high: (F.coalesce(low, F.lit(-math.inf)), F.coalesce(high, F.lit(math.inf)))
+    (x, x2), (y, y2) = wide(x, x2), wide(y, y2)
+    # An IoU above the limit is an overlap, so the margins decide alone. Boxes can touch if, with the margin added below (a
+    # little more, for rounding), they share a strip. A pair counts in the later one's first strip.
+    span = F.sequence(cell(y), F.greatest(cell(y), cell(y2 + TOUCH * page_height * 1.001)))
+    placed = images.where(F.col(key).isNotNull() & F.col(id_column).isNotNull())
+    placed = placed.select(key, F.col(id_column).alias("a"), x.alias("x"), y.alias("y"), x2.alias("x2"), y2.alias("y2"), cell(y).alias("_home"), F.explode(span).alias("_strip"))
+    placed = placed.select(key, "_strip", "a", *(F.col(c).cast("double") for c in ("x", "y", "x2", "y2")), (F.col("_home") == F.col("_strip")).alias("home"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A strip's lists, about pairs.MOST boxes of them at once."""
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        page, name = rows.column(0)[0], rows.column(2).type
+        arrays = [rows.column(c).to_numpy() for c in ("x", "y", "x2", "y2", "home", "a")]
+
+        def batch(found: list[tuple[object, np.ndarray]]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(b) for _, b in found)], dtype=np.int32)
+            cuts = np.union1d(ends, np.arange(0, ends[-1], LIST, dtype=np.int32))
+            a = pa.array([a for a, _ in found], name).take(pa.array(np.searchsorted(ends, cuts[:-1], "right") - 1))
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([b for _, b in found]), name))
+            return pa.RecordBatch.from_arrays([pa.repeat(page, len(a)), a, lists], names=[key, "a", "b"])
+
+        found, n = [], 0
+        for one in pairs.touching(*arrays, TOUCH * page_width, TOUCH * page_height):
+            found.append(one)
+            n += len(one[1]) + 1
+            if n >= pairs.MOST:
+                yield batch(found)
+                found, n = [], 0
+        if found:
+            yield batch(found)
+
+    types = dict(placed.dtypes)
+    lists = placed.groupBy(key, "_strip").applyInArrow(meet, f"{key} {types[key]}, a {types['a']}, b array<{types['a']}>")
+    return lists.select(key, "a", F.explode("b").alias("b")).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def nearest_anchor(texts: DataFrame, anchors: DataFrame, key: str, text_id: str, anchor_id: str, page_width: float, page_height: float) -> DataFrame:

@@ -131,6 +131,32 @@ def _first_beyond(starts: np.ndarray, ends: np.ndarray, margin: float) -> np.nda
     return n
 
 
+def touching(x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, home: np.ndarray, name: np.ndarray, margin_x: float, margin_y: float) -> Iterator[tuple[object, np.ndarray]]:
+    """The name of a box and those of the boxes after it, by x, that lie within both margins of it: each pair once, but none of
+    two boxes that are both not at home, or that share a name. A box with a side that is not a number meets nothing.
+
+    Such boxes are a stretch of those sorted by x, and among them ranks decide along y.
+    """
+    with np.errstate(invalid="ignore"):
+        own = np.flatnonzero((x - x2 <= margin_x) & (y - y2 <= margin_y))
+    own = own[np.argsort(x[own], kind="stable")]
+    name, home = name[own], home[own]
+    starts, upto = np.unique(x[own], return_counts=True)
+    ends = np.append(0, np.cumsum(upto))[_first_beyond(starts, x2[own], margin_x)]
+    starts = np.unique(y[own])
+    kind = np.int16 if len(starts) < np.iinfo(np.int16).max else np.int32
+    low, high = np.searchsorted(starts, y[own]).astype(kind), _first_beyond(starts, y2[own], margin_y).astype(kind)
+    low_home = np.where(home, low, kind(len(starts)))
+    several = len(set(name.tolist())) < len(name)
+    for k, (end, at_home, bottom, top) in enumerate(zip(ends.tolist(), home.tolist(), low.tolist(), high.tolist(), strict=True), 1):
+        if k < end:
+            met = (low if at_home else low_home)[k:end] < top
+            met &= high[k:end] > bottom
+            if several:
+                met &= name[k:end] != name[k - 1]
+            yield name[k - 1], name[k:end][met]
+
+
 def touching_components(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, node: np.ndarray, margin_x: float, margin_y: float) -> np.ndarray:
     """The smallest node that boxes reach which lie within both margins of each other; by node (0 ..; boxes may share one).
 
