@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from vitrine.operators import boxes, geometry
+from vitrine.operators import boxes, geometry, pairs
 
 WIDTH, HEIGHT = 600.0, 840.0
 
@@ -122,3 +122,30 @@ def test_touching_pairs_equal_sql_with_nulls(spark, tmp_path):
     want = sorted(con.sql(f"select page_id, a, b from ({__spark_entry__.oracle_sql()['touching_pairs']})").fetchall())
     got = sorted((r.page_id, r.a, r.b) for r in __spark_entry__.queries()["touching_pairs"](spark, str(tmp_path)).collect())
     assert got == want and any(b % 50 == 7 for _, _, b in got) and any(a % 60 == 11 for _, a, _ in got)
+
+
+@pytest.mark.parametrize("n, levels", [(0, 1), (1, 1), (129, 3), (1500, 6), (1500, 1000)])
+def test_touching_equals_all_pairs_in_numpy(n, levels):
+    """Few and many places along y, ranks that repeat, boxes not at home, sides without end, below 0 or not a number."""
+    r = np.random.default_rng(n + levels)
+    x, y = r.integers(0, 900, n) * 1.0, r.integers(0, levels, n) * (1200.0 / levels)
+    x2, y2 = x + r.integers(-20, 260, n), y + r.integers(-30, 240, n)
+    x[::50], x2[1::50], y2[2::70], x[3::90] = -np.inf, np.inf, np.inf, np.nan
+    home, rank = r.random(n) < 0.7, r.integers(0, max(1, n * 2 // 3), n)
+    found = list(pairs.touching(x, y, x2, y2, home, rank, 15.0, 21.0))
+    got = [(i, j) for a, m, b in found for i, j in zip(np.repeat(a, m).tolist(), b.tolist(), strict=True)]
+    with np.errstate(invalid="ignore"):
+        near = lambda v, w, most: v[:, None] - w[None] <= most
+        meet = near(x, x2, 15.0) & near(x, x2, 15.0).T & near(y, y2, 21.0) & near(y, y2, 21.0).T & (home[:, None] | home[None]) & (rank[:, None] < rank[None])
+        meet &= ((x - x2 <= 15.0) & (y - y2 <= 21.0))[:, None] & ((x - x2 <= 15.0) & (y - y2 <= 21.0))[None]
+    assert sorted(got) == list(zip(*(v.tolist() for v in np.nonzero(meet)), strict=True))
+    assert all((m > 0).all() and m.max(initial=0) <= pairs.BLOCK for _, m, _ in found) and (n < 129 or got)
+
+
+def test_touching_pairs_make_a_small_file(spark, tmp_path):
+    """A page of 60 times sf0.1 has 92 million pairs: lists that are alike follow each other, so Parquet keeps a row in a fraction of a byte."""
+    df = spark.range(6000).selectExpr("7L as page_id", "id * 200 + 7 as box_id", "named_struct('x', 1.0D * (id * 7919 % 900), 'y', 7.0D + id % 6 * 200, 'width', 60.0D + id * 104729 % 200, 'height', 60.0D + id % 9 * 20) as b")
+    geometry.touching_pairs(df, "page_id", "box_id", 1000.0, 1400.0).write.parquet(f"{tmp_path}/pairs")
+    rows = spark.read.parquet(f"{tmp_path}/pairs").count()
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert rows > 1_000_000 and size < 0.7 * rows, (rows, size / rows)

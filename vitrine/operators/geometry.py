@@ -18,8 +18,8 @@ MIN_SIDE, MAX_AREA, HEADER, FOOTER, BAR_ASPECT, COLUMN_ASPECT = 180, 0.85, 0.1,
 FULL_PAGE, BACKGROUND, BAR_WIDTH, BAR_HEIGHT, BAND = 0.9, 0.85, 0.8, 0.04, 0.05
 #: When images touch, and how far a text may be from its image (shares of the page).
 TOUCH, TOUCH_IOU, NEAR_X, NEAR_Y, OVERLAP, CAPTION_WIDTH = 0.015, 0.2, 0.04, 0.05, 0.4, 0.55
-#: Strips of a page in which boxes meet, and boxes in a list of those that touch one; both change no result.
-STRIPS, LIST = 6, 512
+#: Strips of a page in which boxes meet, and tasks that they are dealt to at least; both change no result.
+STRIPS, TASKS = 6, 400
 
 
 def sides(r: Column) -> tuple[Column, Column, Column, Column]:
@@ -102,7 +102,9 @@ def centers_in(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
 def touching_pairs(images: DataFrame, key: str, id_column: str, page_width: float, page_height: float) -> DataFrame:
     """Pairs a < b of one page whose boxes touch or overlap. images: key, id, b (box struct). A null side limits nothing.
 
-    A strip of a page comes to one task, which makes a list for each box and no row for a pair; pairs become rows at the end.
+    A strip of a page comes to one task, where numpy makes lists in an order that keeps a file of their rows small; they become rows
+    at the end. Pairs grow with the square of the boxes, so strips are dealt to many tasks however few bytes they are, and a task
+    meets so few ids that a file's dictionary holds them.
     """
     cell = lambda v: F.least(F.lit(STRIPS - 1.0), F.greatest(F.lit(0.0), F.floor(v * STRIPS / page_height))).cast("int")
     x, y, x2, y2 = sides(F.col("b"))
@@ -116,31 +118,30 @@ def touching_pairs(images: DataFrame, key: str, id_column: str, page_width: floa
     placed = placed.select(key, "_strip", "a", *(F.col(c).cast("double") for c in ("x", "y", "x2", "y2")), (F.col("_home") == F.col("_strip")).alias("home"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A strip's lists, about pairs.MOST boxes of them at once."""
+        """A strip's pairs, about pairs.MOST / 2 at once."""
         rows = pa.Table.from_batches(batches).combine_chunks()
-        page, name = rows.column(0)[0], rows.column(2).type
-        arrays = [rows.column(c).to_numpy() for c in ("x", "y", "x2", "y2", "home", "a")]
+        page, names = rows.column(0)[0], rows.column(2).combine_chunks()
+        arrays = [rows.column(c).to_numpy() for c in ("x", "y", "x2", "y2", "home")]
 
-        def batch(found: list[tuple[object, np.ndarray]]) -> pa.RecordBatch:
-            ends = np.cumsum([0, *(len(b) for _, b in found)], dtype=np.int32)
-            cuts = np.union1d(ends, np.arange(0, ends[-1], LIST, dtype=np.int32))
-            a = pa.array([a for a, _ in found], name).take(pa.array(np.searchsorted(ends, cuts[:-1], "right") - 1))
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([b for _, b in found]), name))
-            return pa.RecordBatch.from_arrays([pa.repeat(page, len(a)), a, lists], names=[key, "a", "b"])
+        def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            a, n, b = (np.concatenate(one) for one in zip(*found, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), names.take(pa.array(b)))
+            return pa.RecordBatch.from_arrays([pa.repeat(page, len(a)), names.take(pa.array(a)), lists], names=[key, "a", "b"])
 
         found, n = [], 0
-        for one in pairs.touching(*arrays, TOUCH * page_width, TOUCH * page_height):
+        for one in pairs.touching(*arrays, pairs.dense_rank(rows.column(2)), TOUCH * page_width, TOUCH * page_height):
             found.append(one)
-            n += len(one[1]) + 1
-            if n >= pairs.MOST:
+            n += len(one[2])
+            if n >= pairs.MOST // 2:
                 yield batch(found)
                 found, n = [], 0
-        if found:
+        if n:
             yield batch(found)
 
     types = dict(placed.dtypes)
+    placed = placed.repartition(max(TASKS, int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key, "_strip")
     lists = placed.groupBy(key, "_strip").applyInArrow(meet, f"{key} {types[key]}, a {types['a']}, b array<{types['a']}>")
-    return lists.select(key, "a", F.explode("b").alias("b")).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return lists.select(key, "a", F.explode("b").alias("b"))
 
 
 def nearest_anchor(texts: DataFrame, anchors: DataFrame, key: str, text_id: str, anchor_id: str, page_width: float, page_height: float) -> DataFrame:

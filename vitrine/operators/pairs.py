@@ -6,14 +6,15 @@ with a null or non-finite side meets nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Boxes of a tile, and pairs that are looked at at once; both change no result.
-TILE, FIRST, MOST = 512, 32, 1 << 20
+#: Boxes of a tile, pairs that are looked at at once, and boxes of a block, whose list goes out as one; they change no result.
+TILE, FIRST, MOST, BLOCK = 512, 32, 1 << 20, 128
 
 
 def box_arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -131,30 +132,82 @@ def _first_beyond(starts: np.ndarray, ends: np.ndarray, margin: float) -> np.nda
     return n
 
 
-def touching(x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, home: np.ndarray, name: np.ndarray, margin_x: float, margin_y: float) -> Iterator[tuple[object, np.ndarray]]:
-    """The name of a box and those of the boxes after it, by x, that lie within both margins of it: each pair once, but none of
-    two boxes that are both not at home, or that share a name. A box with a side that is not a number meets nothing.
+def _in_space(home: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of boxes in classes of those alike (or near) along y, by x in each; and their classes."""
+    by_y = np.lexsort((high, low, home))
+    other = np.any([v[by_y][1:] != v[by_y][:-1] for v in (home, low, high)], axis=0)
+    code = np.cumsum(np.append(0, other)[: len(by_y)])
+    if len(code) and code[-1] >= max(1, len(code) // BLOCK):
+        code = np.arange(len(code)) // math.ceil((len(code) * BLOCK) ** 0.5)
+    by_x = np.lexsort((start[by_y], code))
+    return by_y[by_x], code[by_x]
 
-    Such boxes are a stretch of those sorted by x, and among them ranks decide along y.
+
+def touching(x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, home: np.ndarray, rank: np.ndarray, margin_x: float, margin_y: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of boxes a, how many boxes b of each lie within both margins of it, and their places. A rank of a is the lower one.
+    Each pair comes once, but none of two boxes that are both not at home, or that share a rank. A box with a side that is not a
+    number meets nothing. At most BLOCK of b come at once.
+
+    Ranks are halved again and again. The lower half meets blocks of the upper one, those that meet the same boxes one after the
+    other: rows of one a follow each other, and its list of b is mostly that of the a before, so a file of them stays small.
     """
     with np.errstate(invalid="ignore"):
         own = np.flatnonzero((x - x2 <= margin_x) & (y - y2 <= margin_y))
-    own = own[np.argsort(x[own], kind="stable")]
-    name, home = name[own], home[own]
-    starts, upto = np.unique(x[own], return_counts=True)
-    ends = np.append(0, np.cumsum(upto))[_first_beyond(starts, x2[own], margin_x)]
-    starts = np.unique(y[own])
-    kind = np.int16 if len(starts) < np.iinfo(np.int16).max else np.int32
-    low, high = np.searchsorted(starts, y[own]).astype(kind), _first_beyond(starts, y2[own], margin_y).astype(kind)
-    low_home = np.where(home, low, kind(len(starts)))
-    several = len(set(name.tolist())) < len(name)
-    for k, (end, at_home, bottom, top) in enumerate(zip(ends.tolist(), home.tolist(), low.tolist(), high.tolist(), strict=True), 1):
-        if k < end:
-            met = (low if at_home else low_home)[k:end] < top
-            met &= high[k:end] > bottom
-            if several:
-                met &= name[k:end] != name[k - 1]
-            yield name[k - 1], name[k:end][met]
+    sides = []
+    for start, end, margin in ((x, x2, margin_x), (y, y2, margin_y)):
+        starts = np.unique(start[own])
+        kind = np.int16 if len(starts) < np.iinfo(np.int16).max else np.int32
+        sides += [np.searchsorted(starts, start[own]).astype(kind), _first_beyond(starts, end[own], margin).astype(kind)]
+    order, code = _in_space(home[own], sides[2], sides[3], sides[0])
+    own, (left, right, low, high) = own[order].astype(np.int32), (v[order] for v in sides)
+    home, rank = home[own], rank[own]
+
+    def meet(one: np.ndarray, block: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = one[:, None], block[None]
+        met = left[b] < right[a]
+        met &= left[a] < right[b]
+        met &= low[b] < high[a]
+        met &= low[a] < high[b]
+        if not (home[one].all() or home[block].all()):
+            met &= home[a] | home[b]
+        if ordered:
+            met &= rank[a] < rank[b]
+        alike = np.lexsort(np.packbits(met, axis=1).T)
+        met = met[alike]
+        n = np.count_nonzero(met, axis=1)
+        return own[one[alike]][n > 0], n[n > 0], np.broadcast_to(own[block], met.shape)[met]
+
+    nodes = [(np.arange(len(own)), 0, int(rank.max(initial=-1)) + 1)]
+    while nodes:
+        some, least, most = nodes.pop()
+        if len(some) < 2 or most - least < 2:
+            continue
+        if len(some) <= BLOCK:
+            yield meet(some, some, True)
+            continue
+        middle = (least + most) // 2
+        upper = rank[some] >= middle
+        a, b = some[~upper], some[upper]
+        nodes += [(a, least, middle), (b, middle, most)]
+        first = np.flatnonzero(np.append(True, code[b][1:] != code[b][:-1])[: len(b)]).tolist()
+        cuts = [at for i, j in zip(first, [*first[1:], len(b)], strict=True) for at in range(i, j, BLOCK)]
+        a_left, a_right, a_low, a_high, a_home = left[a], right[a], low[a], high[a], home[a]
+        for block in np.split(b, cuts[1:]) if len(a) and len(b) else ():
+            b_left, b_right, b_low, b_high = left[block], right[block], low[block], high[block]
+            near = (a_left < b_right.max()) & (a_right > b_left.min()) & (a_low < b_high.max()) & (a_high > b_low.min())
+            every = near & (a_left < b_right.min()) & (a_right > b_left.max()) & (a_low < b_high.min()) & (a_high > b_low.max())
+            if not home[block].all():
+                every &= a_home
+                near &= a_home | home[block].any()
+            for part in _parts(a[every]):
+                yield own[part], np.full(len(part), len(block)), np.tile(own[block], len(part))
+            for part in _parts(a[near & ~every]):
+                yield meet(part, block, False)
+
+
+def _parts(a: np.ndarray) -> list[np.ndarray]:
+    """So many at once that they make at most MOST / 4 pairs with a block."""
+    return [a[at : at + MOST // 4 // BLOCK] for at in range(0, len(a), MOST // 4 // BLOCK)]
 
 
 def touching_components(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, node: np.ndarray, margin_x: float, margin_y: float) -> np.ndarray:
